@@ -4,9 +4,10 @@ A document's set is its distinct 5-word shingles. The sketch has T coordinates;
 to one bin and one value, in round T + j all elements are hashed to bin j, and a bin keeps its smallest value of its
 earliest round, so after 2T rounds every coordinate is filled. Bands of R coordinates make buckets. Documents with
 equal sets are one class from the start. In every bucket the class that collides most leads, and the others are held
-against it on their full sets. Where a bucket still has several components, its other pairs are held against each
-other: all at once in small buckets, some leaders at a time in large ones. So only a link that no band shows is lost:
-at a similarity of 0.85 that has a chance of (1 - 0.85^R)^B = 8e-7 a pair.
+against it on their full sets. Where a bucket still has several components, the sketches of its classes are compared
+in blocks, and pairs of two components whose sketches agree enough (a short and a fine one) are held against each other on their
+full sets. A link is lost only if no band shows it, (1 - 0.85^R)^B = 8e-7 a pair at a similarity of 0.85, or if its
+sketches agree six standard deviations less than expected, 1e-8; nothing is capped.
 
 Defined results: null and blank texts have no shingles, link with nothing and stand for themselves; null ids are left
 alone as they come (component null, kept false); repeated rows of one id are rows with the same result; an empty table
@@ -18,7 +19,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import MASK, U64, Scratch, grams, hashed, long_id, mix, seeds, table, texts
@@ -26,9 +26,13 @@ from .components import components
 
 SHINGLE, COORDS, ROWS = 5, 120, 5
 BANDS = COORDS // ROWS
-SEEDS = seeds(2 * COORDS, 10)
-#: Buckets up to this many classes are settled by all their open pairs at once, larger ones by so many leaders a round.
-SMALL, LEADERS = 48, 16
+#: Coordinates of the fine sketch that only documents of shared buckets get.
+FINE = 1024
+SEEDS, FINE_SEEDS = seeds(2 * COORDS, 10), seeds(2 * FINE, 12)
+#: Ids of shared buckets are broadcast up to this many, 16 MB.
+BROADCAST_IDS = 2_000_000
+#: Classes of a bucket that a worker compares with each other at once.
+BLOCK = 1024
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -45,11 +49,17 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(grams(w, k))
 
 
+def agreement(coords: int, percent: int) -> int:
+    """Coordinates that the sketches of a linked pair share but for six standard deviations."""
+    p = percent / 100
+    return int(coords * p - 6 * (coords * p * (1 - p)) ** 0.5)
+
+
 def sketch(s: np.ndarray, t: int = COORDS, seed: np.ndarray = SEEDS) -> np.ndarray:
     """Fast similarity sketch of a non-empty set: t coordinates of (round, value)."""
     low = U64(0xFFFFFFFF)
     cur = np.full(t, np.iinfo(np.uint64).max, U64)
-    step = max(1, min(t, 256 // len(s)))
+    step = max(1, min(t, max(256, 4 * t) // len(s)))
     for lo in range(0, t, step):
         r = np.arange(lo, min(t, lo + step))
         h = mix(s[None, :] ^ seed[r][:, None])
@@ -70,25 +80,90 @@ def band_hashes(coords: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(h).view(np.int64)
 
 
-PROFILE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+PROFILE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
 def profiles(batches):
     """Set size, 128-bit set signature and band hashes of each document."""
     for b in batches:
-        n, s1, s2, bands = [], [], [], []
+        n, s1, s2, bands, short = [], [], [], [], []
         for text in texts(b.column("text")):
             s = shingle_set(text)
             n.append(len(s))
             s1.append(int(mix(s).sum(dtype=U64).view(np.int64)) if len(s) else 0)
             s2.append(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
-            bands.append(band_hashes(sketch(s)) if len(s) else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            coords = sketch(s) if len(s) else np.empty(0, U64)
+            bands.append(band_hashes(coords) if len(s) else coords.view(np.int64))
+            short.append(marks(coords))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+
+
+def marks(coords: np.ndarray) -> bytes:
+    """A byte of each coordinate."""
+    return (mix(coords) & U64(255)).astype(np.uint8).tobytes()
 
 
 def sets(batches):
+    """The whole set and the fine sketch of each document of a shared bucket."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(x).view(np.int64) for x in texts(b.column("text"))], pa.list_(pa.int64()))], ["id", "shingles"])
+        found = [shingle_set(x) for x in texts(b.column("text"))]
+        fine = [marks(sketch(s, FINE, FINE_SEEDS)) if len(s) else b"" for s in found]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["id", "shingles", "fine"])
+
+
+def finder(percent: int):
+    """Groups of rows in order -> the pairs to verify, each from the first bucket that shows it."""
+
+    def near(g: dict[str, np.ndarray]):
+        left, right = g["mine"] <= g["other"], g["mine"] >= g["other"]
+        li, ri = np.flatnonzero(left), np.flatnonzero(right)
+        one_block = bool((g["mine"] == g["other"]).all())
+        for at in range(0, len(li), 64):
+            i = li[at : at + 64]
+            agree = (g["sketch"][i][:, None, :] == g["sketch"][ri][None, :, :]).sum(axis=2, dtype=np.int16)
+            x, y = np.nonzero(agree >= agreement(COORDS, percent))
+            x, y = i[x], ri[y]
+            n1, n2 = g["n"][x], g["n"][y]
+            fine = (g["component"][x] != g["component"][y]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+            fine &= (g["id"][x] < g["id"][y]) if one_block else (g["id"][x] != g["id"][y])
+            x, y = x[fine], y[fine]
+            if len(x):
+                earlier = np.arange(BANDS) < g["place"][x][:, None]
+                x, y = (v[~((g["bands"][x] == g["bands"][y]) & earlier).any(axis=1)] for v in (x, y))
+            if len(x):
+                close = np.concatenate([(g["fine"][x[k : k + 8192]] == g["fine"][y[k : k + 8192]]).sum(axis=1) for k in range(0, len(x), 8192)])
+                x, y = (v[close >= agreement(FINE, percent)] for v in (x, y))
+            yield np.minimum(g["id"][x], g["id"][y]), np.maximum(g["id"][x], g["id"][y])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            whole = pa.Table.from_batches(held)
+            last = whole.column("group")[-1].as_py()
+            groups = whole.column("group").to_numpy()
+            cut = int(np.flatnonzero(groups == last)[0])  # the last group may go on in the next batch
+            yield from pairs_of(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    def pairs_of(t: pa.Table):
+        if not t.num_rows:
+            return
+        cols = {k: t.column(k).to_numpy() for k in ("group", "mine", "other", "place", "id", "n", "component")}
+        cols["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
+        cols["fine"] = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        cols["bands"] = np.array(t.column("bands").to_pylist(), np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cols["group"])) + 1, [t.num_rows]])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for x, y in near({k: v[lo:hi] for k, v in cols.items()}):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
 
 
 def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -108,9 +183,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     whole = prof.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(whole.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = prof.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("place", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = scratch.keep(banded.join(shared, "band"), "members0")
+    reps = scratch.keep(reps.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "reps")
     near_sizes = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     # Round 1: the class with most collisions leads its bucket.
@@ -120,40 +196,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     pairs = members.join(lead, "band").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb"))
     tested = scratch.keep(pairs.filter(near_sizes).select("a", "b").distinct(), "pairs1")
     wanted = members.select("id").distinct()
-    texts_of = source.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    shingles = scratch.keep(texts_of.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    wanted = scratch.keep(wanted.withColumnRenamed("id", "doc_id"), "wanted")
+    few = wanted.count() <= BROADCAST_IDS  # 8 bytes each; more ids go by a shuffle of the texts
+    texts_of = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    shingles = scratch.keep(texts_of.mapInArrow(sets, "id long, shingles array<long>, fine binary").dropDuplicates(["id"]), "sets")
     links = scratch.keep(confirmed(tested, shingles, percent), "links1")
 
-    # Further rounds: what is still open between components of one bucket.
-    k = 1
-    while True:
-        comp = components(links, scratch, f"c{k}")
-        comp = scratch.keep(comp, f"comp{k}")
-        now = members.select("band", "id", "n", "size", "degree").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-        members = scratch.keep(now.join(open_, "band", "left_semi").select("band", "id", "n", "size", "degree", "component"), f"members{k}")
-        if k == 1:
-            rank = F.row_number().over(W.partitionBy("band").orderBy(F.desc("degree"), "id"))
-            members = scratch.keep(members.filter(F.col("size") > SMALL).withColumn("rank", rank).unionByName(members.filter(F.col("size") <= SMALL).withColumn("rank", F.lit(0))), "ranked")
-            base = members
-        else:
-            base = members.join(base.select("band", "id", "rank"), ["band", "id"])
-        lo, hi = (k - 1) * LEADERS, k * LEADERS
-        lead_ = base.filter((F.col("rank") == 0) | ((F.col("rank") > lo) & (F.col("rank") <= hi)) if k == 1 else (F.col("rank") > lo) & (F.col("rank") <= hi))
-        x = lead_.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        y = base.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        new = x.join(y, "band").filter("a <> b and ca <> cb and ((ra = 0 and a < b) or (ra > 0 and ra < rb))").filter(near_sizes)
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = scratch.keep(new, f"pairs{k + 1}")
-        left = base.filter(F.col("rank") > hi).limit(1).count()
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            links = scratch.keep(links.unionByName(confirmed(new, shingles, percent)), f"links{k + 1}")
-            if not left:
-                comp = scratch.keep(components(links, scratch, f"c{k}b"), f"comp{k}b")
-        if not left:
-            break
-        k += 1
+    # Round 2: pairs of different components that share a bucket and whose sketches agree enough.
+    comp = scratch.keep(components(links, scratch, "c1"), "comp1")
+    now = members.select("band", "place", "id", "n", "size").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+    now = now.join(open_, "band", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "bands", "sketch"), "id").join(shingles.select("id", "fine"), "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    # a large bucket is cut into blocks, and every two blocks meet in a group of their own
+    spread = now.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.withColumn("group", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")))
+    cols = ["group", "mine", "other", "place", "id", "n", "component", "bands", "sketch", "fine"]
+    new = spread.select(*cols).repartition("group").sortWithinPartitions("group").mapInArrow(finder(percent), "a long, b long")
+    new = scratch.keep(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs2")
+    links = scratch.keep(links.unionByName(confirmed(new, shingles, percent)), "links2")
+    comp = scratch.keep(components(links, scratch, "c2"), "comp2")
     by_class = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     rows = prof.select("doc_id", *key).join(by_class, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
