@@ -1,0 +1,130 @@
+"""Full-text search, query understanding, vectors and clustering."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as L
+from ..functions import text as T
+
+
+def tokens(c: Column, longer_than: int = 2) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(T.safe(c)), "[^a-z0-9 ]", " "), " +"), lambda w: (F.length(w) > longer_than) & ~T.is_in(w, L.STOPWORDS))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(term, key, tf) and (key, length)."""
+    t = docs.select(key, tokens(F.col(text)).alias("w"))
+    return t.select(key, F.explode("w").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), t.select(key, F.size("w").alias("length"))
+
+
+def bm25(posts: DataFrame, lengths: DataFrame, key: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Documents with all terms and their score; a term that half of the documents have counts next to nothing."""
+    terms = sorted(set(terms))
+    hit = posts.filter(F.col("term").isin(terms))
+    n = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))  # one row
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
+    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    rows = hit.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(n))
+    return rows.groupBy(key).agg(F.sum(idf * part).alias("bm25"), F.count("*").alias("found")).filter(F.col("found") == len(terms)).drop("found")
+
+
+def phrase_boost(title: Column, body: Column, query: str) -> Column:
+    words = [w for w in query.lower().split() if len(w) > 2]
+    in_title = [F.lower(title).contains(w) for w in words]
+    every = reduce(lambda a, b: a & b, in_title)
+    hits = reduce(lambda a, b: a + b, [x.cast("int") for x in in_title])
+    return F.when(F.lower(title).contains(query.lower()), 4.0).when(F.lower(body).contains(query.lower()), 2.5).when(every, 1.5).otherwise(hits * 0.4)
+
+
+def like_search(docs: DataFrame, text: str, query: str) -> DataFrame:
+    words = [w for w in query.lower().split() if len(w) > 3][:5]
+    return docs.filter(reduce(lambda a, b: a & b, [F.lower(F.col(text)).contains(w) for w in words]))
+
+
+def tfidf(posts: DataFrame, key: str, docs: int | Column) -> DataFrame:
+    """Unit vectors (key, term, weight) of tf * (ln((1 + N) / (1 + df)) + 1)."""
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    raw = posts.join(df, "term").withColumn("raw", F.col("tf") * (F.log((F.lit(1.0) + docs) / (F.lit(1.0) + F.col("df"))) + 1))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def top_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest unit vectors of each query vector (qid, q) among (vid, v); queries are a small stated set."""
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    pairs = vectors.join(F.broadcast(queries), F.col("qid") != F.col("vid")).select("qid", "vid", dot.alias("cosine"))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "vid"))).filter(F.col("rank") <= k)
+
+
+def has(c: Column, patterns) -> Column:
+    return reduce(lambda a, b: a | b, [c.rlike(f"(^|[^a-z0-9]){p}($|[^a-z0-9])") for p in patterns])
+
+
+def intent(query: Column) -> Column:
+    q = F.lower(F.trim(T.safe(query)))
+    n = T.word_count(q)
+    return F.when(n == 0, "informational").when(has(q, L.FRESH), "freshness_sensitive").when((n <= 4) & has(q, L.NAVIGATIONAL), "navigational").when((n >= 5) | has(q, L.DEEP) | q.contains('"'), "deep_research").otherwise("informational")
+
+
+def variants(query: Column, most: int = 5) -> Column:
+    q = F.trim(T.safe(query))
+    low, n = F.lower(q), T.word_count(q)
+    swapped = F.lit(None).cast("string")
+    for k, v in reversed(list(L.SYNONYMS.items())):
+        swapped = F.when(F.array_contains(T.words(low), k), F.regexp_replace(low, f"(^| ){k}( |$)", f"$1{v}$2")).otherwise(swapped)
+    frames = F.array(q, F.when((n <= 4) & ~low.contains("research"), F.concat(q, F.lit(" research"))), F.when(~low.contains("explain"), F.when((n <= 3) & ~low.contains("how"), F.concat(F.lit("how "), q, F.lit(" works"))).otherwise(F.concat(q, F.lit(" explained")))), F.when(~low.contains("discussion") & ~low.contains("forum"), F.concat(q, F.lit(" discussion"))), swapped)
+    return F.slice(F.array_distinct(F.array_compact(frames)), 1, most)
+
+
+def similar_queries(memory: DataFrame, query: str, least: float = 0.85) -> DataFrame:
+    """Past queries that contain the query, are contained in it, or have a Levenshtein ratio of `least` or more."""
+    q, own = F.lit(query.lower()), F.lower("query")
+    ratio = 1 - F.levenshtein(own, q) / F.greatest(F.length(own), F.length(q), F.lit(1))
+    return memory.withColumn("ratio", ratio).filter((F.col("ratio") >= least) | own.contains(q) | q.contains(own))
+
+
+def average_linkage(pdf: pd.DataFrame, threshold: float = 0.35) -> pd.DataFrame:
+    """Agglomerative clustering of one small set (pos, terms, weights): merges the closest two clusters while they are near."""
+    import numpy as np
+
+    pdf = pdf.sort_values("pos").reset_index(drop=True)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts in pdf["terms"] for t in ts}))}
+    m = np.zeros((len(pdf), max(1, len(vocabulary))))
+    for i, (ts, ws) in enumerate(zip(pdf["terms"], pdf["weights"], strict=True)):
+        for t, w in zip(ts, ws, strict=True):
+            m[i, vocabulary[t]] = w
+    d = np.clip(1 - m @ m.T, 0, 2)
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(len(pdf)), list(range(len(pdf)))
+    while len(pdf) > 1:
+        i, j = divmod(int(np.argmin(d)), len(pdf))
+        if not d[i, j] < threshold:
+            break
+        i, j = min(i, j), max(i, j)
+        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])  # Lance-Williams for the mean distance
+        d[:, i] = d[i]
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label = [i if x == j else x for x in label]
+    return pd.DataFrame({"set_id": pdf["set_id"], "pos": pdf["pos"], "cluster": pdf["pos"].iloc[label].to_numpy() if len(pdf) else []})
+
+
+def clusters(vectors: DataFrame) -> DataFrame:
+    """vectors (set_id, pos, term, weight), a few dozen rows a set -> (set_id, pos, cluster)."""
+    rows = vectors.groupBy("set_id", "pos").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    return rows.groupBy("set_id").applyInPandas(average_linkage, "set_id long, pos long, cluster long")
+
+
+def inbound(links: DataFrame, trust: DataFrame) -> DataFrame:
+    """links (target, source), several a pair -> links, linking domains and the authority boost of each target."""
+    pairs = links.filter("target <> source and target <> ''").groupBy("target", "source").agg(F.count("*").alias("links"))
+    rows = pairs.join(trust, "source", "left")
+    return rows.groupBy("target").agg(F.sum("links").alias("links"), F.count("*").alias("domains"), F.least(F.lit(0.05), F.sum(F.coalesce("trust", F.lit(0.5))) * 0.02).alias("boost"))
