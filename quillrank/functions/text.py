@@ -16,12 +16,17 @@ def words(c: Column) -> Column:
     return F.filter(F.split(safe(c), SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body refers to it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
 def sentences(c: Column, longer_than: int = 8) -> Column:
-    return F.filter(F.transform(F.split(safe(c), "[.!?]+"), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(safe(c), "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
 def mean(a: Column) -> Column:
@@ -31,9 +36,9 @@ def mean(a: Column) -> Column:
 
 def variation(a: Column) -> Column:
     """Population standard deviation over the mean (at least 1)."""
-    m = mean(a)
-    square = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - m, F.lit(2.0)))
-    return F.sqrt(square / F.greatest(F.size(a), F.lit(1))) / F.greatest(m, F.lit(1.0))
+    m, n = mean(a), F.greatest(F.size(a), F.lit(1))
+    squares = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.sqrt(F.greatest(squares / n - m * m, F.lit(0.0))) / F.greatest(m, F.lit(1.0))
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -120,7 +120,7 @@ def average_linkage(pdf: pd.DataFrame, threshold: float = 0.35) -> pd.DataFrame:
 def clusters(vectors: DataFrame) -> DataFrame:
     """vectors (set_id, pos, term, weight), a few dozen rows a set -> (set_id, pos, cluster)."""
     rows = vectors.groupBy("set_id", "pos").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    return rows.groupBy("set_id").applyInPandas(average_linkage, "set_id long, pos long, cluster long")
+    return rows.groupBy("set_id").applyInPandas(lambda pdf: average_linkage(pdf), "set_id long, pos long, cluster long")
 
 
 def inbound(links: DataFrame, trust: DataFrame) -> DataFrame:

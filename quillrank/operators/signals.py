@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -24,9 +23,11 @@ def strip_boilerplate(c: Column) -> Column:
 
 def sentence_variance(c: Column) -> Column:
     lengths = F.transform(T.sentences(c), T.word_count)
-    cv = T.variation(lengths)
-    score = F.when(cv < 0.15, cv / 0.15 * 0.3).when(cv <= 0.8, 0.3 + (cv - 0.15) / 0.65 * 0.7).otherwise(F.greatest(F.lit(0.0), 1 - (cv - 0.8) * 0.5))
-    return F.when(F.size(lengths) < 4, 0.5).otherwise(score)
+
+    def score(cv: Column) -> Column:
+        return F.when(cv < 0.15, cv / 0.15 * 0.3).when(cv <= 0.8, 0.3 + (cv - 0.15) / 0.65 * 0.7).otherwise(F.greatest(F.lit(0.0), 1 - (cv - 0.8) * 0.5))
+
+    return T.let(lengths, lambda x: F.when(F.size(x) < 4, 0.5).otherwise(T.let(T.variation(x), score)))
 
 
 def lexical_diversity(c: Column) -> Column:
@@ -48,17 +49,22 @@ def filler_penalty(c: Column) -> Column:
 
 def trigram_repetition(c: Column) -> Column:
     w = F.filter(F.transform(T.words(c), F.lower), lambda x: x.rlike("^\\p{L}+$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    repeated = 1 - F.size(F.array_distinct(grams)) / F.size(grams)
+    after = lambda k: F.slice(w, k, F.greatest(F.size(w), F.lit(1)))  # noqa: E731  shifted copies, so that w is not evaluated for each place
+    pairs = F.zip_with(w, after(2), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.filter(F.zip_with(pairs, after(3), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+    repeated = 1 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))
     return F.when((T.word_count(c) < 40) | (F.size(w) < 30), 0.0).otherwise(F.least(repeated / 0.20 * 0.30, F.lit(0.30)))
 
 
 def info_density(c: Column) -> Column:
     """Paragraph depth is 0.5 throughout, as boilerplate stripping joins the paragraphs."""
-    body = strip_boilerplate(c)
-    n = T.word_count(body)
-    raw = 0.25 * (1 - F.exp(-n / F.lit(800.0))) + 0.25 * lexical_diversity(body) + 0.20 * sentence_variance(body) + 0.15 * technical_vocabulary(body) + 0.15 * 0.5 - filler_penalty(body) - trigram_repetition(body)
-    return F.when(n < 30, 0.05).otherwise(T.clamp(raw * F.least(n / F.lit(200.0), F.lit(1.0))))
+
+    def density(body: Column) -> Column:
+        n = T.word_count(body)
+        raw = 0.25 * (1 - F.exp(-n / F.lit(800.0))) + 0.25 * lexical_diversity(body) + 0.20 * sentence_variance(body) + 0.15 * technical_vocabulary(body) + 0.15 * 0.5 - filler_penalty(body) - trigram_repetition(body)
+        return F.when(n < 30, 0.05).otherwise(T.clamp(raw * F.least(n / F.lit(200.0), F.lit(1.0))))
+
+    return T.let(strip_boilerplate(c), density)
 
 
 def phrase_density(c: Column) -> Column:
@@ -71,8 +77,7 @@ def connective_flood(c: Column) -> Column:
 
 def sentence_uniformity(c: Column) -> Column:
     lengths = F.transform(T.sentences(c), T.word_count)
-    cv = T.variation(lengths)
-    return F.when((F.size(lengths) < 6) | (cv >= 0.5), 0.0).otherwise((0.5 - cv) / 0.5)
+    return T.let(lengths, lambda x: T.let(T.variation(x), lambda cv: F.when((F.size(x) < 6) | (cv >= 0.5), 0.0).otherwise((0.5 - cv) / 0.5)))
 
 
 def title_stuffing(t: Column) -> Column:
@@ -85,7 +90,7 @@ def title_stuffing(t: Column) -> Column:
 
 def ai_spam(title: Column, c: Column) -> Column:
     """Paragraph and heading parts need blank lines; texts of one paragraph get 0 for them."""
-    paragraphs = F.filter(F.transform(F.split(T.safe(c), "\n\n+"), F.trim), lambda p: F.length(p) > 30)
+    paragraphs = F.filter(F.transform(F.split(T.safe(c), "\n\n+"), lambda p: F.trim(p)), lambda p: F.length(p) > 30)
     bags = F.transform(paragraphs, lambda p: F.array_distinct(F.filter(F.transform(T.words(p), F.lower), lambda w: w.rlike("^\\p{L}+$"))))
     pairs = F.zip_with(F.slice(bags, 1, F.greatest(F.size(bags) - 1, F.lit(0))), F.slice(bags, 2, F.greatest(F.size(bags) - 1, F.lit(0))), T.jaccard)
     alike = F.when(F.size(paragraphs) < 3, 0.0).otherwise(F.least(T.mean(pairs) / 0.15, F.lit(1.0)))
