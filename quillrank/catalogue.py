@@ -19,6 +19,7 @@ from .operators import ranking as R
 from .operators import search as S
 from .operators import signals as G
 from .operators import store as K
+from .runtime import ship
 from .sources.tables import archive_fallback, page_records, read, union_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,6 +495,7 @@ def dense_topk(spark, d):
 
 @query(None)
 def semantic_clusters(spark, d):
+    ship(spark)
     docs = documents(spark, d)
     posts, _ = S.postings(docs, "doc_id", "text")
     v = S.tfidf(posts, "doc_id", docs.count()).withColumn("set_id", F.floor(C("doc_id") / 40)).withColumnRenamed("doc_id", "pos")
