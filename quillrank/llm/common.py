@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Entries that a worker's word cache holds before it is emptied (about 60 MB).
 CACHE_WORDS = 300_000
 
@@ -31,23 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillrank_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(prefix="quillrank-ship-"), "quillrank_src.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(to)
-    sc._quillrank_shipped = True
-
-
 class Scratch:
     """Tables of one run of an operator, written as Parquet below the shared folder; they survive lost executors and cut the lineage."""
 
