@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, Scratch, long_id, table
 
 MOST, BITS, THRESHOLD = 8000, 14, 0.5
-LETTERS = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?!-]")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -47,7 +47,7 @@ def votes(text: str) -> list[int]:
     words = text.split()
     n, size = max(1, len(words)), max(1, len(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    letters = len(LETTERS.findall(text))
+    letters = sum(map(len, LETTERS.findall(text)))
     bare = [w.strip(".,;:!?'\"()").lower() for w in words]
     again, said = repetition(text, words)
     counts: dict[str, int] = {}
@@ -68,25 +68,39 @@ def votes(text: str) -> list[int]:
     ]
 
 
+def form(run: str) -> str:
+    """How a run of letters is written: capitals, a capital first, or small."""
+    return "A" if run.isupper() and len(run) > 1 else "Aa" if run[0].isupper() else "a"
+
+
+class Classes(dict):
+    """Code of a character -> the letter or digit that stands for its class, or itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "9" if c.isdecimal() else c if not c.isalpha() else "A" if c.isupper() else "a" if c.islower() else c
+        self[code] = kind
+        return kind
+
+
 class Shapes(dict):
-    """word -> hashed shape, cached."""
+    """word of character classes -> hashed shape, cached; there are far fewer such words than words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", word)
-        s = re.sub(r"(.)\1+", r"\1\1", re.sub(r"\d+", "9", s))
-        h = self[word] = xxhash.xxh3_64_intdigest(s) >> (64 - BITS)
+        s = re.sub(r"\d+", "9", LETTERS.sub(lambda m: form(m[0]), word))
+        h = self[word] = xxhash.xxh3_64_intdigest(re.sub(r"(.)\1+", r"\1\1", s)) >> (64 - BITS)
         return h
 
 
-SHAPES = Shapes()
+CLASSES, SHAPES = Classes(), Shapes()
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shapes, shape pairs and line lengths, and the roots of their shares."""
     words = text.split()
-    ids = np.fromiter(map(SHAPES.__getitem__, words), np.int64, len(words))
+    ids = np.fromiter(map(SHAPES.__getitem__, text.translate(CLASSES).split()), np.int64, len(words))
     pairs = (ids[:-1] * 31 + ids[1:] * 7 + 11) % (1 << BITS)
     lines = text.split("\n")
     extra = np.array([xxhash.xxh3_64_intdigest(f"lines {min(20, int(np.log2(1 + len(x.split()))))}") >> (64 - BITS) for x in lines], np.int64)
