@@ -55,6 +55,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, files_per_trigger: int = 4
         state = spark.createDataFrame([], "digest binary, n long, keep struct<doc_id: long, locator: string>")
     else:
         state = scratch.keep(stream_state(spark, landed, scratch, files_per_trigger), "final")
+        scratch.drop("stream", "state")  # the stream has ended, its last state is kept
 
     # Whole bytes of hits: copies collapse before the shuffle, as the text is a grouping key.
     hits = state.filter("n > 1").select("digest")
@@ -63,7 +64,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, files_per_trigger: int = 4
 
     ids = landed.select("digest", "doc_id", "locator")
     plain = ids.join(state.select("digest", "n", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator")), "digest")
-    if not mixed.isEmpty():  # one digest over unequal bytes: those rows go by the bytes
+    if mixed.isEmpty():
+        scratch.drop("hits")  # whole texts, which nothing reads any more
+    else:  # one digest over unequal bytes: those rows go by the bytes
         odd = full.join(mixed, "digest", "left_semi").join(bytes_of, ["digest", "text"])
         plain = plain.join(mixed, "digest", "left_anti").select("digest", "doc_id", "n", "keep_id", "keep_locator").unionByName(odd.select("digest", "doc_id", "n", "keep_id", F.lit(None).cast("string").alias("keep_locator")))
     return plain.select(

@@ -192,6 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     # Round 1: the class with most collisions leads its bucket.
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     members = scratch.keep(members.join(degree, "id"), "members")
+    scratch.drop("members0")
     lead = members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("id")).alias("m"), "id", "n")).alias("l")).select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"))
     pairs = members.join(lead, "band").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb"))
     tested = scratch.keep(pairs.filter(near_sizes).select("a", "b").distinct(), "pairs1")
@@ -200,6 +201,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     few = wanted.count() <= BROADCAST_IDS  # 8 bytes each; more ids go by a shuffle of the texts
     texts_of = source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     shingles = scratch.keep(texts_of.mapInArrow(sets, "id long, shingles array<long>, fine binary").dropDuplicates(["id"]), "sets")
+    scratch.drop("wanted")
     links = scratch.keep(confirmed(tested, shingles, percent), "links1")
 
     # Round 2: pairs of different components that share a bucket and whose sketches agree enough.
@@ -215,8 +217,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     cols = ["group", "mine", "other", "place", "id", "n", "component", "bands", "sketch", "fine"]
     new = spread.select(*cols).repartition("group").sortWithinPartitions("group").mapInArrow(finder(percent), "a long, b long")
     new = scratch.keep(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs2")
+    scratch.drop("members", "reps", "comp1", "pairs1")
     links = scratch.keep(links.unionByName(confirmed(new, shingles, percent)), "links2")
+    scratch.drop("sets", "pairs2", "links1")
     comp = scratch.keep(components(links, scratch, "c2"), "comp2")
+    scratch.drop("links2")
     by_class = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     rows = prof.select("doc_id", *key).join(by_class, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
