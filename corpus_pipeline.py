@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the
 last return the columns of documents. Rows without a doc_id can't be named by a decision and are dropped by the first
 stage that needs one. The toxicity, near-duplicate, decontamination and packing stages can't be expressed in SQL.
-Their operators have tests of their own in tests/llm; a test of the whole against brute force is still missing.
+Their operators have tests of their own in tests/llm, and test_pipeline.py holds the whole against brute force.
 """
 
 from __future__ import annotations
