@@ -111,11 +111,11 @@ def texts(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def two_level_rank(df: DataFrame, by: list[str], order: str, rows: int, out: str, per_bucket: int = 50_000) -> DataFrame:
+def two_level_rank(df: DataFrame, by: list[str], order: str, rows: int, out: str, per_bucket: int = 50_000, then: tuple[str, ...] = ()) -> DataFrame:
     """Gapless ranks from 0 inside each `by` group without one task per group.
 
     Rows go to hashed buckets of about `per_bucket`; each bucket is numbered on its own and starts at the sum of the
-    buckets before it. Only the table of bucket counts is scanned in order.
+    buckets before it. Only the table of bucket counts is scanned in order. `then` orders rows of equal `order`.
     """
     from pyspark.sql import Window as W
 
@@ -124,5 +124,5 @@ def two_level_rank(df: DataFrame, by: list[str], order: str, rows: int, out: str
     key = [*by, "_b"]
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = df.groupBy(*key).agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inner = df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(order)) - 1)
+    inner = df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(order, *then)) - 1)
     return inner.join(starts, key).withColumn(out, (F.col("_s") + F.col("_r")).cast("long")).drop("_b", "_s", "_r")

@@ -13,6 +13,8 @@ repeated rows are documents of their own; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,22 +45,66 @@ def closed_form(rooms: list[int]) -> tuple[list[int], list[int]]:
     return starts, rooms
 
 
+def shard_at(rank, rooms: list[int]):
+    """The shard that holds the rank-th free row."""
+    starts, at = closed_form(rooms)[0], F.lit(0)
+    for j, room in enumerate(rooms):
+        at = F.when(rank >= starts[j], F.lit(j)).otherwise(at) if room else at
+    return at
+
+
+def place_large(sizes: list[int], caps: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Pieces (group, first row, shard, first slot) of large groups, and the rows that each shard holds then.
+
+    Largest first into the fullest shard that takes the group whole; a group that no shard takes whole fills the emptiest
+    shard and goes on with its rest.
+    """
+    held, pieces = [0] * len(caps), []
+    left = [(-n, i, 0) for i, n in enumerate(sizes)]
+    heapq.heapify(left)
+    while left:
+        n, i, first = heapq.heappop(left)
+        room = [c - h for c, h in zip(caps, held, strict=True)]
+        fits = [j for j in range(len(caps)) if room[j] >= -n]
+        j = min(fits, key=lambda j: (room[j], j)) if fits else max(range(len(caps)), key=lambda j: (room[j], -j))
+        put = min(room[j], -n)
+        pieces.append((i, first, j, held[j]))
+        held[j] += put
+        if put < -n:
+            heapq.heappush(left, (n + put, i, first + put))
+    return pieces, held
+
+
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     scratch = Scratch(spark, "shard")
     base = scratch.keep(narrow(docs), "narrow")
     total = base.count()
     caps = [total // shards + (j < total % shards) for j in range(shards)]
-    cap = F.array(*[F.lit(c).cast("long") for c in caps])
     block = max(1, max(caps, default=0) // 8)
-
-    groups = base.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1")
-    linked = base.join(groups, ["k1", "k2"]).select(
+    key = ["k1", "k2"]
+
+    groups = scratch.keep(base.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1"), "groups")
+    # larger than an eighth of a shard, so fewer than eight a shard
+    large = [tuple(r) for r in groups.filter(F.col("copies") > block).select(*key, "copies").orderBy(F.desc("copies"), *key).collect()]
+    pieces, fixed = place_large([r[2] for r in large], caps)
+    pieces = spark.createDataFrame([(*large[i][:2], first, j, slot) for i, first, j, slot in pieces], "k1 long, k2 long, first long, shard int, start long")
+    large = F.broadcast(spark.createDataFrame([r[:2] for r in large], "k1 long, k2 long"))
+    rooms = [c - f for c, f in zip(caps, fixed, strict=True)]
+    cap = F.array(*[F.lit(c).cast("long") for c in rooms])
+
+    members = two_level_rank(base.join(large, key), key, "doc_id", total, "rank")
+    # the piece of a member is the last one that starts at or before it
+    nth = pieces.withColumn("upto", F.coalesce(F.lead("first").over(W.partitionBy(*key).orderBy("first")), F.lit(total)))
+    placed = members.join(F.broadcast(nth), key).filter("rank >= first and rank < upto").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - F.col("first")).alias("slot"))
+
+    small = base.join(large, key, "left_anti")
+    linked = small.join(groups, key, "left_semi").select(
         "doc_id", "size", "text_crc32",
-        F.xxhash64("k1", "k2", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("copies") / block))).alias("g"),
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"),
+        F.xxhash64(*key).alias("g"),
+        shard_at(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, sum(rooms)))), rooms).cast("int").alias("label"),
     )
     linked = scratch.keep(linked, "linked0")
-    shut: list[int] = []
+    shut = [j for j in range(shards) if not rooms[j]]
     for r in range(rounds):
         open_ = [j for j in range(shards) if j not in shut]
         if not open_:
@@ -72,29 +118,30 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         upto = W.partitionBy("want").orderBy("cls").rowsBetween(W.unboundedPreceding, 0)
         # shards x CLASSES rows at most, so it is broadcast
         granted = demand.withColumn("upto", F.sum("d").over(upto)).join(F.broadcast(stay), "want", "left").withColumn("ok", F.col("upto") + F.coalesce("stay", F.lit(0)) <= cap[F.col("want")])
-        shut = [x[0] for x in granted.groupBy("want").agg(F.min("ok").alias("all_ok")).filter("not all_ok").select("want").collect()]  # one row a shard at most
+        full = [j for j in range(shards) if not rooms[j]]
+        shut = full + [x[0] for x in granted.groupBy("want").agg(F.min("ok").alias("all_ok")).filter("not all_ok").select("want").collect()]  # one row a shard at most
         moved = asked.join(F.broadcast(granted.select("want", "cls", "ok")), ["want", "cls"], "left")
         linked = scratch.keep(moved.select("doc_id", "size", "text_crc32", "g", F.when(F.coalesce("ok", F.lit(True)), F.col("want")).otherwise(F.col("label")).alias("label")), f"linked{r + 1}")
         scratch.drop(f"linked{r}", f"asked{r}")
-        if not shut and r:
+        if len(shut) == len(full) and r:
             break
 
-    ranked = scratch.keep(two_level_rank(linked, ["label"], "doc_id", total, "rank"), "ranked")
-    fits = F.col("rank") < cap[F.col("label")]
-    held = {x["label"]: x["n"] for x in ranked.filter(fits).groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a shard
-    starts, rooms = closed_form([c - held.get(j, 0) for j, c in enumerate(caps)])
-    settled = ranked.filter(fits).select("doc_id", "size", "text_crc32", F.col("label").cast("int").alias("shard"), F.col("rank").alias("slot"))
-    free = base.join(groups, ["k1", "k2"], "left_anti").select("doc_id", "size", "text_crc32").unionByName(ranked.filter(~fits).select("doc_id", "size", "text_crc32"))
-    free = two_level_rank(free, [], "doc_id", total, "rank") if total else free.withColumn("rank", F.lit(0).cast("long"))
-    at = F.lit(0)
-    for j in range(1, shards):
-        at = F.when(F.col("rank") >= starts[j], F.lit(j)).otherwise(at) if rooms[j] else at
-    if shards and not rooms[0]:  # the first shard with room
-        first = next((j for j in range(shards) if rooms[j]), 0)
-        at = F.greatest(at, F.lit(first))
-    begin, full = (F.array(*[F.lit(x).cast("long") for x in v]) for v in (starts, [held.get(j, 0) for j in range(shards)]))
-    free = free.withColumn("shard", at.cast("int")).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - begin[F.col("shard")] + full[F.col("shard")]).alias("slot"))
-    out = settled.unionByName(free)
+    # groups that found no single shard, and those at the end of an overfull one, go whole to the free rows
+    torn = linked.groupBy("g").agg(F.countDistinct("label").alias("n")).filter("n > 1").select("g")
+    loose = linked.join(torn, "g", "left_semi").select("doc_id", "size", "text_crc32", "g")
+    ranked = scratch.keep(two_level_rank(linked.join(torn, "g", "left_anti"), ["label"], "g", total, "rank", then=("doc_id",)), "ranked")
+    last = ranked.groupBy("label", "g").agg(F.max("rank").alias("last"))
+    out_ = last.filter(F.col("last") >= cap[F.col("label")]).select("g")
+    fit = scratch.keep(ranked.join(out_, "g", "left_anti"), "fit")
+    held = {x["label"]: x["n"] for x in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a shard
+    held = [fixed[j] + held.get(j, 0) for j in range(shards)]
+    rooms = [c - h for c, h in zip(caps, held, strict=True)]
+    begin, full, under = (F.array(*[F.lit(x).cast("long") for x in v]) for v in (closed_form(rooms)[0], held, fixed))
+    settled = fit.select("doc_id", "size", "text_crc32", F.col("label").cast("int").alias("shard"), (F.col("rank") + under[F.col("label")]).alias("slot"))
+    free = small.join(groups, key, "left_anti").select("doc_id", "size", "text_crc32", F.xxhash64(*key).alias("g")).unionByName(loose).unionByName(ranked.join(out_, "g", "left_semi").select("doc_id", "size", "text_crc32", "g"))
+    free = two_level_rank(free, [], "g", total, "rank", then=("doc_id",)) if total else free.withColumn("rank", F.lit(0).cast("long"))
+    free = free.withColumn("shard", shard_at(F.col("rank"), rooms).cast("int")).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - begin[F.col("shard")] + full[F.col("shard")]).alias("slot"))
+    out = placed.unionByName(settled).unionByName(free)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

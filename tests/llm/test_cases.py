@@ -97,6 +97,17 @@ def test_equal_texts_share_a_shard(spark):
     assert len(whole) >= 0.8 * (len(spread) - 1)  # the hot group is larger than a shard; small ones stay together
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    sizes = {"a": 100, "b": 60, "c": 30, "d": 15, "e": 260}
+    texts = [t for t, n in sizes.items() for _ in range(n)] + [f"own {i}" for i in range(335)]
+    random.Random(8).shuffle(texts)
+    got = sharding.shard(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(800)) and set(Counter(r["shard"] for r in got).values()) == {100}
+    assert len({(r["shard"], r["slot"]) for r in got}) == 800 and max(r["slot"] for r in got) == 99
+    spread = {t: sorted(Counter(r["shard"] for r in got if texts[r["doc_id"]] == t).values()) for t in sizes}
+    assert spread == {"a": [100], "b": [60], "c": [30], "d": [15], "e": [60, 100, 100]}
+
+
 def test_packing_cases(spark, cases):
     rows, docs, _, _ = cases
     got = packing.pack_documents(spark, docs).collect()
