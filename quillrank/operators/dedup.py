@@ -27,24 +27,46 @@ def fingerprint(c: Column, least: int = 60, most: int = 300) -> Column:
     return F.when(F.size(w) >= least, F.left(F.md5(F.array_join(F.slice(w, 1, most), " ")), F.lit(16)))
 
 
-def title_pairs(df: DataFrame, tokens: str = "tokens", pos: str = "pos", least: float = 0.75) -> DataFrame:
-    """Pairs (a, b), a < b, with title Jaccard >= least: prefix filter over tokens in order of rarity, then verification."""
-    rows = df.select(pos, tokens, F.size(tokens).alias("n")).filter("n > 0")
-    each = rows.select(pos, "n", F.explode(tokens).alias("t"))
-    df_ = each.groupBy("t").agg(F.count("*").alias("df"))
+def title_pairs(df: DataFrame, tokens: str = "tokens", pos: str = "pos", least: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b), a < b, of one set `by` with title Jaccard >= least: prefix filter over tokens in order of rarity, then verification."""
+    rows = df.select(*by, pos, tokens, F.size(tokens).alias("n")).filter("n > 0")
+    each = rows.select(*by, pos, "n", F.explode(tokens).alias("t"))
+    df_ = each.groupBy(*by, "t").agg(F.count("*").alias("df"))
     prefix = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
     # two sets at or above the threshold share one of their rarest n - ceil(least * n) + 1 tokens
-    order = each.join(df_, "t").withColumn("r", F.row_number().over(W.partitionBy(pos).orderBy("df", "t"))).filter(F.col("r") <= prefix)
-    keys = order.select(F.col(pos).alias("p"), "t", F.col("n").alias("m"))
-    pairs = keys.alias("x").join(keys.alias("y"), "t").filter("x.p < y.p and least(x.m, y.m) >= %s * greatest(x.m, y.m)" % least).select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
-    a, b = (rows.select(F.col(pos).alias(k), F.col(tokens).alias(f"t{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    order = each.join(df_, [*by, "t"]).withColumn("r", F.row_number().over(W.partitionBy(*by, pos).orderBy("df", "t"))).filter(F.col("r") <= prefix)
+    keys = order.select(*by, F.col(pos).alias("p"), "t", F.col("n").alias("m"))
+    pairs = keys.alias("x").join(keys.alias("y"), [*by, "t"]).filter("x.p < y.p and least(x.m, y.m) >= %s * greatest(x.m, y.m)" % least).select(*by, F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
+    a, b = (rows.select(*by, F.col(pos).alias(k), F.col(tokens).alias(f"t{k}")) for k in "ab")
+    return pairs.join(a, [*by, "a"]).join(b, [*by, "b"]).withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select(*by, "a", "b", "similarity")
 
 
 def dedup_exact(df: DataFrame, by: str, least: float = 0.75) -> DataFrame:
-    """The greedy rule inside each (small) set `by`: a row goes if a kept row has its key or a similar title."""
-    rows = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "url_key", "tokens"))).alias("rows"))
-    empty = F.filter("rows", lambda x: F.lit(False))
-    near = lambda k, x: (F.size(x["tokens"]) > 0) & (T.jaccard(k["tokens"], x["tokens"]) >= least)
-    kept = F.aggregate("rows", empty, lambda acc, x: F.when(F.exists(acc, lambda k: (k["url_key"] == x["url_key"]) | near(k, x)), acc).otherwise(F.array_append(acc, x)))
-    return rows.select(by, F.explode(F.transform(kept, lambda x: x["pos"])).alias("pos"))
+    """The greedy rule inside each set `by`, in order of the unique `pos`: a row goes if a kept row has its key or a similar title.
+
+    Rows of equal titles are one node of the similarity links, so copies make no pairs. In each round the undecided rows
+    without an earlier undecided row of their key or of a similar title are kept, and what they exclude goes.
+    """
+    from ..llm.common import Scratch  # needs the packages of the corpus operators
+
+    scratch = Scratch(df.sparkSession, "dedup")
+    rows = scratch.keep(df.select(by, "pos", "url_key", F.sort_array(F.array_distinct("tokens")).alias("title")), "rows")
+    titles = scratch.keep(rows.filter(F.size("title") > 0).groupBy(by, "title").agg(F.min("pos").alias("head")), "titles")
+    pairs = scratch.keep(title_pairs(titles, "title", "head", least, (by,)).select(by, "a", "b"), "pairs")
+    own = titles.select(by, F.col("head").alias("a"), F.col("head").alias("b"))
+    links = scratch.keep(pairs.unionByName(pairs.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own).toDF(by, "head", "like"), "links")
+    undecided = scratch.keep(rows.join(titles, [by, "title"], "left").select(by, "pos", "url_key", "head"), "undecided0")
+    kept, r = undecided.select(by, "pos").limit(0), 0
+    while not undecided.isEmpty():
+        first = undecided.groupBy(by, F.col("head").alias("like")).agg(F.min("pos").alias("m"))
+        near = links.join(first, [by, "like"]).groupBy(by, "head").agg(F.min("m").alias("near"))
+        same = undecided.groupBy(by, "url_key").agg(F.min("pos").alias("same"))
+        seen = undecided.join(near, [by, "head"], "left").join(same, [by, "url_key"], "left")
+        now = scratch.keep(seen.filter("pos <= coalesce(near, pos) and pos <= coalesce(same, pos)").select(by, "pos", "url_key", "head"), f"kept{r}")
+        gone = links.join(now.select(by, F.col("head").alias("like")), [by, "like"], "left_semi").select(by, "head")
+        rest = undecided.join(now.select(by, "pos"), [by, "pos"], "left_anti").join(now.select(by, "url_key"), [by, "url_key"], "left_anti").join(gone, [by, "head"], "left_anti")
+        undecided = scratch.keep(rest, f"undecided{r + 1}")
+        scratch.drop(f"undecided{r}")
+        kept = kept.unionByName(now.select(by, "pos")) if r else now.select(by, "pos")
+        r += 1
+    return kept

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillrank import catalogue
 from quillrank.functions import text as T
 from quillrank.functions import urls as U
 from quillrank.operators import budget, dedup, ranking, search, signals, store
@@ -67,6 +68,37 @@ def test_exact_dedup_is_greedy(spark):
     assert sorted(r["pos"] for r in got) == [1, 3, 5]
 
 
+def greedy(rows):
+    """The reference's rule over one list in order; rows (pos, url_key, tokens)."""
+    kept = []
+    for pos, key, tokens in sorted(rows):
+        t = set(tokens)
+        if not any(key == k or (t and u and len(t & u) / len(t | u) >= 0.75) for _, k, u in kept):
+            kept.append((pos, key, t))
+    return [p for p, _, _ in kept]
+
+
+def test_exact_dedup_against_the_plain_fold(spark):
+    rng = random.Random(7)
+    rows = [(s, p, f"u{rng.randrange(90)}", rng.sample("abcdefgh", rng.choice((0, 4, 5, 6, 7)))) for s in range(3) for p in range(60)]
+    rows += [(3, p, f"u{p}", list("abcdefghijklmnopqrst"[p : p + 10])) for p in range(10)]  # a chain: each like the next only
+    got = dedup.dedup_exact(spark.createDataFrame(rows, "set_id int, pos int, url_key string, tokens array<string>"), "set_id").collect()
+    assert sorted((r["set_id"], r["pos"]) for r in got) == [(s, p) for s in range(4) for p in greedy([x[1:] for x in rows if x[0] == s])]
+
+
+def test_registered_exact_dedup_is_over_the_whole_table(spark, tmp_path):
+    rng = random.Random(11)
+    titles = [[f"w{rng.randrange(400)}" for _ in range(10)] for _ in range(40)]
+    rows = []
+    for i in range(240):
+        t = list(rng.choice(titles))
+        t[rng.randrange(10)] = f"w{rng.randrange(400)}"
+        rows.append((i, " ".join(t + [f"tail{i}"]) if i % 50 else "", "s", "en"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r["pos"] for r in catalogue.QUERIES["dedup_exact"](spark, str(tmp_path)).collect())
+    assert got == greedy([(i, str(i), t.split()[:10]) for i, t, _, _ in rows]) and len(got) < 200
+
+
 def test_blending_keeps_caps_and_injects(spark):
     rows = [(1, i, f"d{i // 4}", i in (20, 25), 1 - i / 40) for i in range(30)]
     df = ranking.ranked(spark.createDataFrame(rows, "set_id int, pos int, domain string, is_exploration boolean, final double"), by=("set_id",))
