@@ -393,6 +393,37 @@ def rank_linear(spark, d):
     return scored_documents(spark, d).orderBy(F.desc("final"), "pos").limit(20).select(C("pos").alias("doc_id"), "domain", "final")
 
 
+BAGS = f"list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda y: trim(y)), lambda y: length(y) > 30), lambda y: list_distinct(list_filter({LOWER.format('y')}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))))"
+ALIKE = "CASE WHEN len(b) < 3 THEN 0.0 ELSE least(1.0, list_avg(list_transform(range(1, len(b)), lambda i: len(list_intersect(b[i], b[i + 1]))::DOUBLE / greatest(len(list_distinct(list_concat(b[i], b[i + 1]))), 1))) / 0.15) END"
+DOC_SPAM = f"""CASE WHEN k < 60 THEN 0.0 ELSE least(1.0, 0.15 * {UNIFORM} + 0.2 * {ALIKE} + 0.25 * least(1.0, {sql_count('text', L.GENERIC_PHRASES)} / greatest(k / 200.0, 1.0) / 2)
+ + 0.1 * least(1.0, len(regexp_extract_all(text, '(?m)^#{{1,6}} .*$')) / greatest(k / 150.0, 1.0)) + 0.15 * least(1.0, {sql_count('text', L.CONNECTIVES)} / greatest(k / 80.0, 1.0) / 3)) END"""
+DOC_SALES = f"least(1.0, least({sql_count('text', L.AFFILIATE)} / 3.0, 1.0) * 0.4 + least({sql_count('text', L.LISTICLE)} / 6.0, 1.0) * 0.35 + least({sql_count('text', L.PRICES)} / 6.0, 1.0) * 0.15 + CASE WHEN regexp_matches(source, 'shop|store|deal') THEN 0.075 ELSE 0.0 END)"
+DOC_SUFFIX = "regexp_extract(source, '([a-z]+)$', 1)"
+DOC_REGISTERED = f"regexp_extract(source, '({'|'.join(m.replace('.', chr(92) + '.') for m in L.MAINSTREAM)})$', 1)"
+DOC_OBSCURE = f"""CASE WHEN {DOC_REGISTERED} = source THEN 0.04 WHEN {DOC_REGISTERED} <> '' AND source LIKE '%.' || {DOC_REGISTERED} THEN 0.08 ELSE least(1.0, 0.4 * CASE WHEN regexp_matches(source, '{'|'.join(L.COMMUNITY)}') THEN 0.8 WHEN regexp_matches(source, '{'|'.join(L.PERSONAL)}') THEN 0.7
+ ELSE 0.45 + CASE WHEN contains(string_split(source, '.')[1], '-') THEN 0.08 ELSE 0 END + CASE WHEN len(string_split(source, '.')) > 2 AND source NOT LIKE 'm.%' THEN 0.06 ELSE 0 END END
+ + 0.1 * (CASE {DOC_SUFFIX} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in L.SUFFIX_WEIGHT.items())} ELSE 0.3 END + CASE WHEN length({DOC_SUFFIX}) = 2 AND {DOC_SUFFIX} NOT IN ('co', 'uk', 'us') THEN 0.04 ELSE 0 END)
+ + 0.35 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.55 WHEN 4 THEN 0.35 ELSE 0.15 END) END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, text, len({TEXT}) AS k, {LENGTHS.format('text')} AS l, {BAGS} AS b, {FP} AS fp, count(*) OVER (PARTITION BY source) AS n FROM documents),
+ s AS (SELECT doc_id, n, {DOC_SPAM} AS spam, {DOC_SALES} AS sales, {DOC_OBSCURE} AS obscure, CASE WHEN fp IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY fp) THEN 0.1 ELSE 0.0 END AS again FROM t),
+ r AS (SELECT doc_id, source AS domain, round(greatest(0.0, least(1.0, 0.26 * density + 0.22 * obscure + 0.2 * (1 - sales) + 0.09 * 0.5 + 0.09 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 ELSE 0.1 END + 0.14 * (1 - spam) - again)), 6) AS final FROM s JOIN ({DENSITY}) USING (doc_id))
+SELECT doc_id, domain, final FROM r ORDER BY final DESC, doc_id LIMIT 20""")
+def rank_signals(spark, d):
+    """rank_linear with every signal that the table allows and the near-duplicate penalty; it has no title, URL, date or search engine."""
+    none, text = F.lit(""), C("text")
+    rows = documents(spark, d).select(C("doc_id").alias("pos"), C("source").alias("domain"), "source", "text")
+    rows = G.with_domain_counts(rows).withColumns({
+        "info_density": G.info_density(text), "commercial": G.commercial_bias(text, C("domain")), "ai_spam": G.ai_spam(none, text),
+        "obscurity": G.obscurity(C("domain"), none, C("rarity"), C("cross_penalty")), "freshness": F.lit(0.5), "fp": D.fingerprint(text),
+    }).drop("text")
+    first = rows.select("pos", "fp").filter("fp is not null").groupBy("fp").agg(F.min("pos").alias("first"))
+    again = F.when(C("pos") > C("first"), 0.1).otherwise(0.0)
+    score = R.linear_score(R.weights(), again)
+    return rows.join(first, "fp", "left").select(C("pos").alias("doc_id"), "domain", F.round(score, 6).alias("final")).orderBy(F.desc("final"), "doc_id").limit(20)
+
+
 DOC_RANK = "(SELECT doc_id AS pos, lang AS set_id, source AS domain, doc_id % 7 AS cluster, doc_id % 11 = 0 AS is_exploration, round((doc_id * 7919 % 1000) / 1000.0, 6) AS final, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 1000 DESC, doc_id) AS rank FROM documents)"
 
 

@@ -32,9 +32,9 @@ def weights(intent: str = "informational", underground: float = 0.5, fresh: floa
     return {k: round(v * scale if k in up else v, 4) for k, v in w.items()}
 
 
-def linear_score(w: dict[str, float]):
+def linear_score(w: dict[str, float], penalty=0.0):
     c = F.col
-    return T.clamp(w["info_density"] * c("info_density") + w["obscurity"] * c("obscurity") + w["commercial"] * (1 - c("commercial")) + w["freshness"] * c("freshness") + w["diversity"] * c("diversity") + w["ai_spam"] * (1 - c("ai_spam")))
+    return T.clamp(w["info_density"] * c("info_density") + w["obscurity"] * c("obscurity") + w["commercial"] * (1 - c("commercial")) + w["freshness"] * c("freshness") + w["diversity"] * c("diversity") + w["ai_spam"] * (1 - c("ai_spam")) - penalty)
 
 
 def ranked(df: DataFrame, score: str = "final", by: tuple[str, ...] = (), pos: str = "pos") -> DataFrame:

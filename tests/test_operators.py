@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,24 @@ def test_registered_exact_dedup_is_over_the_whole_table(spark, tmp_path):
     assert got == greedy([(i, str(i), t.split()[:10]) for i, t, _, _ in rows]) and len(got) < 200
 
 
+def test_rank_signals_against_its_sql(spark, tmp_path):
+    rng = random.Random(13)
+    lines = lambda n: ". ".join(" ".join("abcdefghijklmnopqrst"[rng.randrange(20)] * 6 for _ in range(rng.randrange(5, 14))) for _ in range(n))
+    body = lines(30)
+    texts = [body, body, body + " In conclusion, it is important to note that moreover. Look no further.", "Best 10 picks, click here, affiliate link, we may earn commission. $20 discount coupon. " + body, "\n\n".join([lines(3)] * 4) + "\n# Heading one\n## Two\n", "same words here again now. " * 20, lines(3), ""]
+    texts += [lines(12) for _ in range(8)]
+    domains = ["a.example.org", "a.example.org", "my-forum.io", "deals.shop.com", "wikipedia.org", "en.wikipedia.org", "blog.net", "x.de"]
+    rows = [(i, t, domains[i % 8] if i < 8 else f"s{i}.org", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["rank_signals"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == [(i, s, pytest.approx(f, abs=2e-6)) for i, s, f in db.execute(catalogue.ORACLES["rank_signals"]).fetchall()]
+    final = {i: f for i, _, f in got}
+    assert final[0] - final[1] == pytest.approx(0.1, abs=1e-6)  # a copy loses the near-duplicate penalty
+    assert final[3] < final[0] - 0.05  # affiliate and price words count
+
+
 def test_blending_keeps_caps_and_injects(spark):
     rows = [(1, i, f"d{i // 4}", i in (20, 25), 1 - i / 40) for i in range(30)]
     df = ranking.ranked(spark.createDataFrame(rows, "set_id int, pos int, domain string, is_exploration boolean, final double"), by=("set_id",))
