@@ -9,7 +9,8 @@ that edit distance becomes Hamming distance. Samples of the written words make t
 meets an item in any of the tables is verified by its exact edit distance. The items are the stated queries: they are
 sent to the workers in blocks of bounded size, whatever their number.
 
-Defined results: null and blank texts leak nothing; items without words can't leak; repeated rows give repeated rows;
+Defined results: null and blank texts leak nothing; items without words can't leak; a leak of
+an item without id contaminates a document and is not in item_ids; repeated rows give repeated rows;
 empty tables give no leaks; other columns are ignored.
 """
 
@@ -173,17 +174,17 @@ def leaks(items: Items, docs: list[np.ndarray]) -> list[dict[int, int]]:
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
     """doc_id, contaminated, item_ids (array), least_edits of every row of docs."""
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = items.count()
     blocks = max(1, -(-n // block))
     rows = docs.select(long_id(), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast("long").alias("least_edits"))
     for k in range(blocks):
         # a bounded part of the query set, never of the documents
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part], edit))
         rows = rows.mapInArrow(searcher(sent), "doc_id long, text string, item_ids array<long>, least_edits long")
-    ids = F.sort_array(F.array_distinct(F.coalesce("item_ids", F.array().cast("array<long>"))))
-    return rows.select("doc_id", (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"), "least_edits")
+    ids = F.sort_array(F.array_distinct(F.array_compact(F.coalesce("item_ids", F.array().cast("array<long>")))))
+    return rows.select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), ids.alias("item_ids"), "least_edits")
 
 
 def searcher(sent):

@@ -79,6 +79,16 @@ def test_stated_results(spark, cases):
     assert s[5]["n_removed"] == s[5]["n_words"] == 30_000 and s[4]["n_removed"] == s[6]["n_removed"] == 0
 
 
+def test_items_without_id_are_searched(spark, cases):
+    _, docs, labels, items = cases
+    got = run("contamination", spark, docs, labels, items).filter("doc_id is null").collect()
+    assert sorted((r["contaminated"], r["item_ids"], r["least_edits"]) for r in got if r["contaminated"]) == [(True, [], 0)]
+    named = spark.createDataFrame([(1, "x one two three y"), (2, "four five")], "doc_id long, text string")
+    both = spark.createDataFrame([(None, "one two"), (8, "two three"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontaminate.contamination(spark, named, both, block=1).collect()}
+    assert got == {1: (True, [8]), 2: (False, [])}
+
+
 def test_without_labels(spark, cases):
     _, docs, labels, _ = cases
     got = toxicity.toxicity(spark, docs, labels.filter("false")).collect()
