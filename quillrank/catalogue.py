@@ -263,7 +263,7 @@ def freshness(spark, d):
 
 @query(f"""SELECT page_id, CASE WHEN f > 0 THEN 'Forum' WHEN contains(u, 'news.') OR n > 0 THEN 'News' WHEN b > 0 THEN 'Blog' ELSE 'Unknown' END AS kind FROM (SELECT page_id, lower(url) AS u, len(regexp_extract_all(lower(url), '/(forum|thread|topic)s?/')) + 3 * (contains(lower(url), 'forum.') OR contains(lower(url), 'community.'))::INT AS f, len(regexp_extract_all(lower(url), '/(news|story)/')) AS n, 2 * contains(lower(url), 'blog.')::INT AS b FROM pages)""")
 def content_type(spark, d):
-    return read(spark, d, "pages").select("page_id", G.content_type(C("url"), F.lit("")).alias("kind"))
+    return read(spark, d, "pages").select("page_id", G.content_type(C("url"), H.plain_text(C("html"))).alias("kind"))
 
 
 # signals relative to a set

@@ -118,6 +118,13 @@ def test_rank_signals_against_its_sql(spark, tmp_path):
     assert final[3] < final[0] - 0.05  # affiliate and price words count
 
 
+def test_content_type_reads_the_page(spark, tmp_path):
+    bodies = {1: "<p>Abstract. Smith et al</p>", 2: "<p>Buy now</p>", 3: "<p>I think so</p>", 4: "<script>buy now</script><p>plain</p>", 5: None}
+    spark.createDataFrame([(i, f"https://x.org/p{i}", h) for i, h in bodies.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["kind"] for r in catalogue.QUERIES["content_type"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Academic", 2: "Commercial", 3: "Blog", 4: "Unknown", 5: "Unknown"}
+
+
 def test_blending_keeps_caps_and_injects(spark):
     rows = [(1, i, f"d{i // 4}", i in (20, 25), 1 - i / 40) for i in range(30)]
     df = ranking.ranked(spark.createDataFrame(rows, "set_id int, pos int, domain string, is_exploration boolean, final double"), by=("set_id",))
