@@ -139,6 +139,33 @@ def test_clusters_partition_their_set(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 3}
 
 
+def brute_linkage(vectors, threshold=0.35):
+    """Average linkage by the mean distance of all pairs, recomputed for each merge; vectors {pos: {term: weight}}."""
+    far = {(p, q): 1 - sum(w * vectors[q].get(t, 0) for t, w in vectors[p].items()) for p in vectors for q in vectors}
+    parts = [[p] for p in sorted(vectors)]
+    while len(parts) > 1:
+        d, i, j = min((sum(far[p, q] for p in a for q in b) / len(a) / len(b), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j)
+        if d >= threshold:
+            break
+        parts[i] += parts.pop(j)
+    return {frozenset(p) for p in parts}
+
+
+def test_registered_clusters_against_brute_linkage(spark, tmp_path):
+    rng = random.Random(17)
+    topics = [[f"{c}word{k}" for k in range(12)] for c in "abcde"]
+    rows = [(i, " ".join(rng.sample(rng.choice(topics), 10) + [f"own{chr(97 + i % 26)}x"]), "s", "en") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalogue.QUERIES["semantic_clusters"](spark, str(tmp_path)).collect():
+        got.setdefault((r["set_id"], r["cluster"]), set()).add(r["pos"])
+    vectors = {}
+    for r in catalogue.QUERIES["tfidf"](spark, str(tmp_path)).collect():
+        vectors.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    want = {(s, c) for s in range(3) for c in brute_linkage({p: v for p, v in vectors.items() if p // 40 == s})}
+    assert {(k[0], frozenset(v)) for k, v in got.items()} == want and 3 < len(want) < 100
+
+
 def test_store(spark):
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
     df = spark.createDataFrame([(1, 0.9, "2024-01-01 00:00:00"), (2, 0.7, "2024-01-23 00:00:00"), (3, 0.1, "2024-01-28 00:00:00"), (4, 0.9, "2023-12-31 23:59:59")], "id int, score double, at string").withColumn("cached_at", F.col("at").cast("timestamp"))
