@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quillrank.llm import decontaminate, exact_dedup, html_extract, near_dup, packing, sharding, substring_dedup, token_counts, toxicity
+from quillrank.llm import decontaminate, exact_dedup, near_dup, packing, sharding, substring_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, score double"
 
@@ -105,12 +105,6 @@ def test_leaks_by_edit_distance():
     assert decontaminate.leaks(items, docs) == [{0: 1}, {}, {}]
 
 
-def test_main_text():
-    page = "<html><body><nav>menu</nav><div class='ad'>buy</div><article><h1>T &amp; x</h1><p>a <b>b</b>c<br>d</p><div class='comments'>no</div></article><footer>f</footer><script>var a='<p>';</script>"
-    assert html_extract.main_text(page) == "T & x a bc d"
-    assert html_extract.main_text(None) == html_extract.main_text("") == ""
-
-
 def test_toxicity(spark):
     rng = random.Random(6)
     docs = [(i, " ".join(words(rng, 50) + (["nasty"] * 2 if i % 5 == 0 else [])), 0.0) for i in range(400)]
