@@ -14,12 +14,15 @@ from .functions import lexicons as L
 from .functions import text as T
 from .functions import urls as U
 from .operators import budget as B
+from .operators import crawl as X
 from .operators import dedup as D
 from .operators import ranking as R
 from .operators import search as S
 from .operators import signals as G
 from .operators import store as K
+from .plans import ranking as P
 from .runtime import ship
+from .schema import SearchPrefs
 from .sources.tables import archive_fallback, page_records, read, union_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,16 +48,31 @@ def quoted(words) -> str:
     return "[" + ",".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+def pattern(p: str) -> str:
+    """A pattern inside an SQL string."""
+    return p.replace("'", "''").replace("\\©", "©")
+
+
 def sql_count(c: str, patterns) -> str:
-    return "(" + "+".join(f"len(regexp_extract_all(lower({c}), '{p.replace(chr(39), chr(39) * 2)}'))" for p in patterns) + ")"
+    return "(" + "+".join(f"len(regexp_extract_all({c}, '(?i){pattern(p)}'))" for p in patterns) + ")"
+
+
+def sql_hits(c: str, patterns) -> str:
+    return "(" + "+".join(f"regexp_matches({c}, '{pattern(p)}')::INT" for p in patterns) + ")"
 
 
+def sql_any(c: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{p}')" for p in parts) + ")"
+
+
+BLANK = "' \t\n\r'"
 WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 LOWER = "list_transform(" + WORDS + ", lambda x: lower(x))"
-SENTENCES = "list_filter(list_transform(regexp_split_to_array({0}, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 8)"
+SENTENCES = "list_filter(list_transform(regexp_split_to_array({0}, '[.!?]+'), lambda x: trim(x, " + BLANK + ")), lambda x: length(x) > 8)"
 LENGTHS = "list_transform(" + SENTENCES + ", lambda s: len(list_filter(regexp_split_to_array(s, '[ \\t\\n\\r]+'), lambda x: x <> '')))"
 TEXT = WORDS.format("text")
-HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
+NETLOC = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
+HOST = "regexp_replace(regexp_replace(" + NETLOC + ", ':[0-9]*$', ''), '^www\\.', '')"
 PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
 PLAIN = "substring(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header|aside|noscript)[^>]*>.*?</(script|style|nav|footer|header|aside|noscript)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), 1, 8000)"
 CV = "(list_stddev_pop(l) / greatest(list_avg(l), 1.0))"
@@ -88,32 +106,34 @@ def url_key_dedup(spark, d):
     return D.first_of(read(spark, d, "pages").select("page_id", U.dedup_key(C("url")).alias("url_key")), "url_key", "page_id")
 
 
-SLUG = f"regexp_replace(coalesce(list_filter(string_split({PATH}, '/'), lambda x: x <> '')[-1], ''), '\\.[a-z]+$', '')"
+SLUG = f"coalesce(list_filter(string_split({PATH}, '/'), lambda x: x <> '')[-1], '')"
+LINK_SCORE = f"""CASE WHEN NOT regexp_matches(url, '^https?://') OR regexp_matches(url, '{pattern(U.SKIP)}') THEN 0.0 ELSE round(least(1.0, 0.2 * CASE WHEN n = 0 THEN 0.2 WHEN n = 1 THEN 0.5 WHEN n <= 3 THEN 0.9 WHEN n <= 5 THEN 0.7 ELSE 0.4 END
+ + 0.35 * CASE WHEN s = '' THEN 0.3 WHEN regexp_matches(s, '^([0-9-]+|[a-f0-9-]{{8,}})$') THEN 0.1 ELSE least(1.0, 0.7 * least(1.0, len(list_filter(regexp_split_to_array(s, '[-_.]+'), lambda x: length(x) > 2)) / 5.0) + CASE WHEN {sql_any('lower(p)', L.CONTENT_WORDS)} THEN 0.3 ELSE 0.0 END) END
+ + CASE WHEN regexp_matches(p, '/[0-9]{{4}}/') THEN 0.1 ELSE 0.0 END
+ + 0.15 * CASE WHEN h LIKE '%.edu' OR h LIKE '%.ac.uk' OR contains(h, '.edu.') THEN 1.0 WHEN h LIKE '%.gov' OR h LIKE '%.mil' THEN 0.9 WHEN h LIKE '%.org' THEN 0.75 WHEN h LIKE '%.net' THEN 0.65 WHEN h LIKE '%.com' THEN 0.55 ELSE 0.6 END + 0.2), 6) END"""
+#: What LINK_SCORE needs of a URL.
+LINK_PARTS = f"url, {PATH} AS p, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS n, {SLUG} AS s, {NETLOC} AS h"
 
 
-@query(f"""SELECT page_id, round(least(1.0, 0.2 * CASE WHEN n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 WHEN n <= 3 THEN 0.9 WHEN n <= 5 THEN 0.7 ELSE 0.4 END
- + 0.35 * CASE WHEN s = '' THEN 0.3 WHEN regexp_matches(s, '^([0-9]+|[0-9a-fA-F]{{8,}})$') THEN 0.1 ELSE least(1.0, 0.7 * least(1.0, len(list_filter(regexp_split_to_array(lower(s), '[-_]'), lambda x: length(x) > 2)) / 5.0) + CASE WHEN regexp_matches(p || '/', '{U.CONTENT_SEGMENTS}') THEN 0.3 ELSE 0.0 END) END
- + CASE WHEN regexp_matches(p, '/(19|20)[0-9]{{2}}/') THEN 0.1 ELSE 0.0 END
- + 0.15 * CASE WHEN regexp_matches(h, '\\.(edu|gov)$') THEN 1.0 WHEN h LIKE '%.org' THEN 0.8 WHEN h LIKE '%.net' THEN 0.6 WHEN h LIKE '%.com' THEN 0.5 ELSE 0.55 END + 0.2), 6) AS link_score
-FROM (SELECT page_id, {PATH} AS p, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS n, {SLUG} AS s, {HOST} AS h FROM pages)""")
+@query(f"SELECT page_id, {LINK_SCORE} AS link_score FROM (SELECT page_id, {LINK_PARTS} FROM pages)")
 def link_quality_score(spark, d):
-    return read(spark, d, "pages").select("page_id", r6(U.link_score(C("url")), "link_score"))
+    return read(spark, d, "pages").select("page_id", r6(U.link_quality(C("url")), "link_score"))
 
 
-SKIPPED = U.SKIP.replace("'", "''")
+SKIPPED = pattern(U.SKIP)
 
 
-@query(f"SELECT page_id, href, NOT regexp_matches(href, '^(?i)https?://') OR regexp_matches(href, '{SKIPPED}') AS skip FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)")
+@query(f"SELECT page_id, href, NOT regexp_matches(href, '^https?://') OR regexp_matches(href, '{SKIPPED}') AS skip FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)")
 def skip_links(spark, d):
     links = read(spark, d, "pages").select("page_id", F.explode(H.hrefs(C("html"))).alias("href"))
     return links.select("page_id", "href", U.skipped(C("href")).alias("skip"))
 
 
-@query(f"SELECT DISTINCT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%'")
+@query(f"""WITH l AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') AS link, place FROM (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) AS place FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)) WHERE href LIKE '/%' AND href NOT LIKE '//%'),
+ k AS (SELECT page_id, link, min(place) AS place FROM l WHERE link <> regexp_replace(url, '#.*$', '') AND NOT regexp_matches(lower({PATH.replace('url', 'link')}), '{L.SITE_CHROME}') AND NOT regexp_matches(lower({PATH.replace('url', 'link')}), '{L.SITE_FILES}') AND regexp_matches({PATH.replace('url', 'link')}, '[^/]') GROUP BY 1, 2)
+SELECT page_id, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS nth FROM k) WHERE nth <= 20""")
 def internal_links(spark, d):
-    links = read(spark, d, "pages").select("page_id", "url", F.explode(H.hrefs(C("html"))).alias("href"))
-    links = links.select("page_id", U.host(C("url")).alias("own"), U.resolve(C("url"), C("href")).alias("link"))
-    return links.filter(U.host(C("link")) == C("own")).select("page_id", "link").distinct()
+    return X.internal_links(read(spark, d, "pages"), "page_id").select("page_id", "link")
 
 
 # text signals
@@ -137,7 +157,7 @@ def lexical_diversity(spark, d):
     return documents(spark, d).select("doc_id", r6(G.lexical_diversity(C("text")), "diversity"))
 
 
-TECH = f"CASE WHEN len({TEXT}) = 0 THEN 0.0 ELSE least(1.0, coalesce(list_sum(list_transform({TEXT}, lambda x: CASE WHEN regexp_matches(x, '^[A-Z]{{2,}}$') THEN 2 WHEN length(x) > 2 AND regexp_matches(x, '[0-9]') THEN 1 WHEN length(x) > 6 AND contains(x, '-') THEN 1 WHEN length(x) >= 10 THEN 1 ELSE 0 END)), 0) / len({TEXT}) / 0.10) END"
+TECH = f"CASE WHEN len({TEXT}) = 0 THEN 0.0 ELSE least(1.0, coalesce(list_sum(list_transform({TEXT}, lambda x: CASE WHEN length(x) >= 2 AND regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}') THEN 2 WHEN length(x) > 2 AND regexp_matches(x, '[0-9]') THEN 1 WHEN length(x) > 6 AND contains(x, '-') THEN 1 WHEN length(x) >= 10 THEN 1 ELSE 0 END)), 0) / len({TEXT}) / 0.10) END"
 
 
 @query(f"SELECT doc_id, round({TECH}, 6) AS technical FROM documents")
@@ -182,8 +202,8 @@ def sentence_variance(spark, d):
 
 STRIPPED = "text"
 for _p in L.BOILERPLATE:
-    STRIPPED = f"regexp_replace({STRIPPED}, '(?i){_p}', ' ', 'g')"
-STRIPPED = f"trim(regexp_replace({STRIPPED}, '[ \\t\\n\\r]{{2,}}', ' ', 'g'))"
+    STRIPPED = f"regexp_replace({STRIPPED}, '(?i){pattern(_p)}', ' ', 'g')"
+STRIPPED = f"trim(regexp_replace({STRIPPED}, '[ \\t\\n\\r]{{2,}}', ' ', 'g'), {BLANK})"
 DENSITY = f"""SELECT doc_id, source, CASE WHEN n < 30 THEN 0.05 ELSE greatest(0.0, least(1.0, (0.25 * (1 - exp(-n / 800.0)) + 0.25 * {LEXICAL} + 0.2 * {VARIANCE} + 0.15 * {TECH} + 0.075
  - least(0.35, len(list_filter({LOWER.format('text')}, lambda x: list_contains({quoted(L.FILLER)}, x)))::DOUBLE / greatest(n, 1) / 0.10 * 0.35) - {TRIGRAM}) * least(n / 200.0, 1.0))) END AS density
 FROM (SELECT *, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' ')) AS g FROM (SELECT *, len({TEXT}) AS n, {ALPHA} AS w, {LENGTHS.format('text')} AS l FROM (SELECT doc_id, source, {STRIPPED} AS text FROM documents)))"""
@@ -194,36 +214,74 @@ def info_density(spark, d):
     return documents(spark, d).select("doc_id", r6(G.info_density(C("text")), "density"))
 
 
-TITLES = ("Top 10 Ways to WIN BIG NOW | Best | Of", "How to fix it (2024)", "A plain title", "short")
+TITLES = ("Top 10 Ways to WIN BIG NOW | Best | Of", "How to fix it (2024) [really now]", "A plain title", "short", "best tools — a list", "12 tips for a title that is much longer than seventy characters in all, and then some more words")
 
 
 def sql_step(n: str, two: int, a: float, b: float) -> str:
-    return f"CASE WHEN {n} >= {two} THEN {a} WHEN {n} >= {two - 1} THEN {b} ELSE 0.0 END"
+    return f"CASE WHEN {n} >= {two} THEN {a} WHEN {n} = {two - 1} THEN {b} ELSE 0.0 END"
+
 
+def found(p: str) -> str:
+    return f"len(regexp_extract_all(t, '{p}'))"
 
-STUFF = f"CASE WHEN length(t) < 8 THEN 0.0 ELSE least(1.0, {sql_step('len(regexp_extract_all(t, $$[|:–—]| - $$))', 2, .55, .2)} + CASE WHEN regexp_matches(t, '^(?i)(top |best )?[0-9]+ ') THEN 0.25 ELSE 0 END + CASE WHEN length(t) > 90 THEN 0.3 WHEN length(t) > 70 THEN 0.12 ELSE 0 END + {sql_step('len(regexp_extract_all(t, $$[(\\[]$$))', 2, .2, .05)} + {sql_step('len(list_filter(' + WORDS.format('t') + ', lambda x: regexp_matches(x, $$^[A-Z]{2,}$' + '$$)))', 3, .2, .08)} + CASE WHEN regexp_matches(t, '^(?i)(how to|why|what is|the ultimate)') THEN 0.15 ELSE 0 END) END"
-STUFF = STUFF.replace("$$^[A-Z]{2,}$$$", "'^[A-Z]{2,}$'").replace("$$", "'")
 
+STUFF = f"""CASE WHEN length(t) < 8 THEN 0.0 ELSE least(1.0, {sql_step(found('[ ]*[|–—][ ]*'), 2, .55, .2)} + CASE WHEN regexp_matches(t, '(?i)\\b[0-9]{{1,2}}[ ]+(things?|ways?|tips?|tricks?|steps?|methods?|ideas?|tools?|apps?|sites?)\\b') THEN 0.25 ELSE 0 END
+ + CASE WHEN length(t) > 90 THEN 0.3 WHEN length(t) > 70 THEN 0.12 ELSE 0 END + {sql_step(found('[(\\[][^)\\]]{3,30}[)\\]]'), 2, .2, .05)} + {sql_step(found('\\b[A-Z]{3,}\\b'), 3, .2, .08)} + CASE WHEN regexp_matches(t, '(?i)^(best|top|ultimate|complete|definitive|full|free|cheap)[ ]+') THEN 0.15 ELSE 0 END) END"""
 
-@query(f"SELECT doc_id, round({STUFF}, 6) AS stuffing FROM (SELECT doc_id, {quoted(TITLES)}[(doc_id % 4 + 1)::INT] AS t FROM documents)")
+
+@query(f"SELECT doc_id, round({STUFF}, 6) AS stuffing FROM (SELECT doc_id, {quoted(TITLES)}[(doc_id % {len(TITLES)} + 1)::INT] AS t FROM documents)")
 def title_stuffing(spark, d):
-    t = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (C("doc_id") % 4 + 1).cast("int"))
+    t = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (C("doc_id") % len(TITLES) + 1).cast("int"))
     return documents(spark, d).select("doc_id", r6(G.title_stuffing(t), "stuffing"))
 
 
-PHRASES = ("", "In conclusion, it is important to note that moreover", "In today's world therefore furthermore", "Let us dive into it, ultimately and additionally")
+#: Some have paragraphs and headings, which no document has.
+PHRASES = (
+    "",
+    "In conclusion, it is important to note that moreover",
+    "In today's world therefore furthermore",
+    "Let's dive into it, ultimately and additionally",
+    "# One heading\n\nThe same words come back in each paragraph of this text\n\nThe same words come back in most paragraphs of this text\n\nSECOND HEADING\n\nOther words stand in the fourth paragraph of all\n\n",
+)
+PHRASE_SHARE = f"least(1.0, {sql_count('text', L.GENERIC_PHRASES)} / (greatest(len({TEXT}), 1) / 200.0) / 2)"
+FLOOD = f"least(1.0, {sql_count('text', L.CONNECTIVES)} / (greatest(len({TEXT}), 1) / 80.0) / 3)"
+HEADED = f"least(1.0, len(regexp_extract_all(text, '(?m)(?:^|\\n)(#{{1,4}}[ \\t\\n\\r]+.+|[A-Z][A-Z &:]{{4,40}}(?:\\n|$))')) / (greatest(len({TEXT}), 1) / 150.0))"
 
 
-@query(f"SELECT doc_id, round(least(1.0, {sql_count('text', L.GENERIC_PHRASES)} / greatest(len({TEXT}) / 200.0, 1.0) / 2), 6) AS phrases FROM {sql_phrases(*PHRASES)}")
+@query(f"SELECT doc_id, round({PHRASE_SHARE}, 6) AS phrases FROM {sql_phrases(*PHRASES)}")
 def phrase_density(spark, d):
     return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.phrase_density(C("text")), "phrases"))
 
 
-@query(f"SELECT doc_id, round(least(1.0, {sql_count('text', L.CONNECTIVES)} / greatest(len({TEXT}) / 80.0, 1.0) / 3), 6) AS connectives FROM {sql_phrases(*PHRASES)}")
+@query(f"SELECT doc_id, round({FLOOD}, 6) AS connectives FROM {sql_phrases(*PHRASES)}")
 def connective_flood(spark, d):
     return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.connective_flood(C("text")), "connectives"))
 
 
+@query(f"SELECT doc_id, round({HEADED}, 6) AS headings FROM {sql_phrases(*PHRASES)}")
+def heading_density(spark, d):
+    return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.heading_density(C("text")), "headings"))
+
+
+PARAGRAPHS = f"list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda y: trim(y, {BLANK})), lambda y: length(y) > 30)"
+BAGS = f"list_transform({PARAGRAPHS}, lambda y: list_filter(list_distinct(string_split(regexp_replace(regexp_replace(lower(y), '[^a-z ]', '', 'g'), ' +', ' ', 'g'), ' ')), lambda x: x <> '' AND NOT list_contains({quoted(L.PARAGRAPH_STOPWORDS)}, x)))"
+OVERLAPS = "list_filter(list_transform(range(1, len(b)), lambda i: CASE WHEN len(b[i]) > 0 AND len(b[i + 1]) > 0 THEN len(list_intersect(b[i], b[i + 1]))::DOUBLE / len(list_distinct(list_concat(b[i], b[i + 1]))) END), lambda x: x IS NOT NULL)"
+ALIKE = f"CASE WHEN len(b) < 3 THEN 0.0 ELSE least(1.0, coalesce(list_avg({OVERLAPS}), 0.0) / 0.15) END"
+
+
+@query(f"SELECT doc_id, round({ALIKE}, 6) AS similarity FROM (SELECT doc_id, {BAGS} AS b FROM {sql_phrases(*PHRASES)})")
+def paragraph_similarity(spark, d):
+    return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.paragraph_similarity(C("text")), "similarity"))
+
+
+DEPTH = f"""CASE WHEN len(c) < 2 THEN 0.5 ELSE greatest(0.0, 1 - abs(list_avg(c) - 4) / 5) END"""
+
+
+@query(f"SELECT doc_id, round({DEPTH}, 6) AS depth FROM (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda y: trim(y, {BLANK})), lambda y: length(y) > 20), lambda z: len({SENTENCES.format('z')})) AS c FROM {sql_phrases(*PHRASES)})")
+def paragraph_depth(spark, d):
+    return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.paragraph_depth(C("text")), "depth"))
+
+
 UNIFORM = f"CASE WHEN len(l) < 6 OR {CV} >= 0.5 THEN 0.0 ELSE (0.5 - {CV}) / 0.5 END"
 
 
@@ -232,22 +290,35 @@ def sentence_uniformity(spark, d):
     return documents(spark, d).select("doc_id", r6(G.sentence_uniformity(C("text")), "uniformity"))
 
 
-@query(f"""SELECT doc_id, round(CASE WHEN len({TEXT}) < 60 THEN 0.5 * {STUFF} ELSE greatest(0.0, least(1.0, 0.15 * {UNIFORM} + 0.25 * least(1.0, {sql_count('text', L.GENERIC_PHRASES)} / greatest(len({TEXT}) / 200.0, 1.0) / 2)
- + 0.15 * least(1.0, {sql_count('text', L.CONNECTIVES)} / greatest(len({TEXT}) / 80.0, 1.0) / 3) + 0.15 * {STUFF})) END, 6) AS spam FROM (SELECT doc_id, text, {LENGTHS.format('text')} AS l, {quoted(TITLES)}[(doc_id % 4 + 1)::INT] AS t FROM {sql_phrases(*PHRASES)})""")
+SPAM = f"CASE WHEN len({TEXT}) < 60 THEN 0.5 * STUFFING ELSE greatest(0.0, least(1.0, 0.15 * {UNIFORM} + 0.2 * {ALIKE} + 0.25 * {PHRASE_SHARE} + 0.1 * {HEADED} + 0.15 * {FLOOD} + 0.15 * STUFFING)) END"
+
+
+@query(f"SELECT doc_id, round({SPAM.replace('STUFFING', STUFF)}, 6) AS spam FROM (SELECT doc_id, text, {LENGTHS.format('text')} AS l, {BAGS} AS b, {quoted(TITLES)}[(doc_id % {len(TITLES)} + 1)::INT] AS t FROM {sql_phrases(*PHRASES)})")
 def ai_spam(spark, d):
-    t = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (C("doc_id") % 4 + 1).cast("int"))
+    t = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (C("doc_id") % len(TITLES) + 1).cast("int"))
     return with_phrases(spark, d, *PHRASES).select("doc_id", r6(G.ai_spam(t, C("text")), "spam"))
 
 
-SALES = ("", "Best 10 picks, click here, affiliate link, we may earn commission", "$20 discount coupon, free trial per month", "sponsored utm_source must-have")
+SALES = (
+    "",
+    "Best 10 picks, add to cart, affiliate, we may earn a commission",
+    "$20 with a coupon code, free trial, 5 USD per month",
+    "sponsored link, paid partnership and top 5 pros and cons",
+    "# Best one\n# Best two\n# Best three\n# Best four\n# Best five\n",
+)
+SHOPS = ("example.org", "best-shop.com", "blog.net")
+HEADINGS = "list_filter(list_transform(regexp_extract_all(text, '(?m)(?:^|\\n)#{1,4}[ \\t\\n\\r]+.+'), lambda h: lower(regexp_extract(h, '#{1,4}[ \\t\\n\\r]+(\\w+)', 1))), lambda x: x <> '')"
+#: Needs the headings' first words as w and the domain as shop.
+BIAS = f"least(1.0, CASE WHEN len(w) > 4 AND len(list_distinct(w))::DOUBLE / len(w) < 0.4 THEN least(0.4, least({sql_count('text', L.AFFILIATE)} / 3.0, 1.0) * 0.4 + 0.15) ELSE least({sql_count('text', L.AFFILIATE)} / 3.0, 1.0) * 0.4 END + least({sql_count('text', L.LISTICLE)} / 6.0, 1.0) * 0.35 + least({sql_count('text', L.PRICES)} / 6.0, 1.0) * 0.15 + CASE WHEN {sql_any('shop', L.SHOP_WORDS)} THEN 0.075 ELSE 0.0 END)"
 
 
-@query(f"SELECT doc_id, round(least(1.0, least({sql_count('text', L.AFFILIATE)} / 3.0, 1.0) * 0.4 + least({sql_count('text', L.LISTICLE)} / 6.0, 1.0) * 0.35 + least({sql_count('text', L.PRICES)} / 6.0, 1.0) * 0.15), 6) AS commercial FROM {sql_phrases(*SALES)}")
+@query(f"SELECT doc_id, round({BIAS}, 6) AS commercial FROM (SELECT *, {HEADINGS} AS w, {quoted(SHOPS)}[(doc_id % {len(SHOPS)} + 1)::INT] AS shop FROM {sql_phrases(*SALES)})")
 def commercial_bias(spark, d):
-    return with_phrases(spark, d, *SALES).select("doc_id", r6(G.commercial_bias(C("text"), F.lit("example.org")), "commercial"))
+    shop = F.element_at(F.array(*[F.lit(x) for x in SHOPS]), (C("doc_id") % len(SHOPS) + 1).cast("int"))
+    return with_phrases(spark, d, *SALES).select("doc_id", r6(G.commercial_bias(C("text"), shop), "commercial"))
 
 
-CHROME = ("Accept all cookies ", "Share this article  all rights reserved", "plain")
+CHROME = ("Cookie policy ", "Share this article  all rights reserved", "plain", "Copyright 2024 powered by")
 
 
 @query(f"SELECT doc_id, {STRIPPED} AS body FROM {sql_phrases(*CHROME)}")
@@ -261,7 +332,19 @@ def freshness(spark, d):
     return o.select("o_orderkey", r6(G.freshness(C("o_orderdate").cast("date"), F.lit("1998-09-01").cast("date")), "freshness"))
 
 
-@query(f"""SELECT page_id, CASE WHEN f > 0 THEN 'Forum' WHEN contains(u, 'news.') OR n > 0 THEN 'News' WHEN b > 0 THEN 'Blog' ELSE 'Unknown' END AS kind FROM (SELECT page_id, lower(url) AS u, len(regexp_extract_all(lower(url), '/(forum|thread|topic)s?/')) + 3 * (contains(lower(url), 'forum.') OR contains(lower(url), 'community.'))::INT AS f, len(regexp_extract_all(lower(url), '/(news|story)/')) AS n, 2 * contains(lower(url), 'blog.')::INT AS b FROM pages)""")
+def sql_named(parts, points: int) -> str:
+    return f"CASE WHEN {sql_any('d', parts)} THEN {points} ELSE 0 END"
+
+
+#: Of u (URL), d (domain), t (text), b (its first 2,000 characters), all lower-cased; ties go to the first.
+KIND = f"""CASE WHEN contains(d, 'wikipedia') OR contains(d, 'wikimedia') THEN 'Wiki' WHEN list_contains({quoted(L.FORUM_DOMAINS)}, d) THEN 'Forum'
+ WHEN list_contains({quoted(L.ACADEMIC_DOMAINS)}, d) OR contains(d, '.edu') OR contains(d, '.ac.') THEN 'Academic' WHEN list_contains({quoted(L.NEWS_DOMAINS)}, d) THEN 'News'
+ WHEN list_contains({quoted(L.DOCS_DOMAINS)}, d) OR contains(d, 'readthedocs') THEN 'Docs' WHEN list_max(p) = 0 THEN 'Unknown'
+ ELSE CASE WHEN t = '' THEN ['Forum', 'Academic', 'Docs', 'News', 'Blog', 'Commercial'] ELSE ['Forum', 'Academic', 'Docs', 'News', 'Commercial', 'Blog'] END[list_position(CASE WHEN t = '' THEN [p[1], p[2], p[3], p[4], p[6], p[5]] ELSE p END, list_max(p))] END"""
+KIND_POINTS = f"[{sql_hits('u', L.FORUM_URLS)} + {sql_named(L.FORUM_NAMES, 3)}, {sql_hits('u', L.ACADEMIC_URLS)} + 2 * {sql_hits('b', L.ACADEMIC_TEXT)}, {sql_hits('u', L.DOCS_URLS)}, {sql_hits('u', L.NEWS_URLS)} + {sql_named(L.NEWS_NAMES, 2)}, 2 * {sql_hits('b', L.COMMERCIAL_TEXT)} + {sql_named(L.SHOP_NAMES, 3)}, {sql_hits('b', L.BLOG_TEXT)} + {sql_named(L.BLOG_NAMES, 2)}]"
+
+
+@query(f"SELECT page_id, {KIND} AS kind FROM (SELECT *, {KIND_POINTS} AS p FROM (SELECT page_id, lower(url) AS u, {HOST} AS d, {PLAIN} AS t, lower(left({PLAIN}, 2000)) AS b FROM pages))")
 def content_type(spark, d):
     return read(spark, d, "pages").select("page_id", G.content_type(C("url"), H.plain_text(C("html"))).alias("kind"))
 
@@ -285,11 +368,24 @@ def cross_source(spark, d):
     return G.with_domain_counts(page_hosts(spark, d)).select("page_id", C("cross_penalty").alias("penalty"))
 
 
-@query(f"""SELECT page_id, round(greatest(0.0, least(1.0, 0.4 * CASE WHEN regexp_matches(domain, 'forum|community|discuss|board') THEN 0.8 WHEN regexp_matches(domain, 'blog|journal|notes|diary') THEN 0.7 ELSE 0.45 + CASE WHEN contains(string_split(domain, '.')[1], '-') THEN 0.08 ELSE 0 END + CASE WHEN len(string_split(domain, '.')) > 2 AND domain NOT LIKE 'm.%' THEN 0.06 ELSE 0 END END
- + 0.1 * CASE regexp_extract(domain, '([a-z]+)$', 1) WHEN 'org' THEN 0.6 WHEN 'net' THEN 0.5 WHEN 'com' THEN 0.2 ELSE 0.3 END
- + 0.15 * least(0.9, 1 - 1 / (1 + 0.4 * len(list_filter(string_split({PATH}, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^index\\.')))))
- + 0.35 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.55 WHEN 4 THEN 0.35 ELSE 0.15 END - CASE WHEN s >= 2 THEN 0.12 ELSE 0 END)), 6) AS obscurity
-FROM {HOSTS} JOIN (SELECT domain, count(*) AS n, count(DISTINCT page_id % 3) AS s FROM {HOSTS} GROUP BY 1) USING (domain)""")
+def sql_under(c: str) -> str:
+    return f"regexp_matches({c}, '\\.({'|'.join(m.replace('.', chr(92) + '.') for m in L.MAINSTREAM)})$')"
+
+
+def sql_suffix(h: str) -> str:
+    last = f"regexp_extract({h}, '([^.]+)$', 1)"
+    last = f"CASE WHEN contains({h}, '.') THEN {last} ELSE 'com' END"
+    return f"(CASE {last} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in L.SUFFIX_WEIGHT.items())} ELSE 0.0 END + CASE WHEN length({last}) = 2 AND {last} NOT IN ('co', 'uk', 'us') THEN 0.04 ELSE 0 END)"
+
+
+RARE = "CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.55 WHEN 4 THEN 0.35 ELSE 0.15 END"
+#: Of domain, url, the URL's host h split into labels (parts), n and s (rows and sources of the domain); hosts end in one-label suffixes.
+SITE = f"CASE WHEN {sql_any('domain', L.COMMUNITY)} THEN 0.8 WHEN {sql_any('domain', L.PERSONAL)} THEN 0.7 ELSE 0.45 + CASE WHEN contains(coalesce(parts[-2], parts[1]), '-') THEN 0.08 ELSE 0 END + CASE WHEN len(parts) > 2 AND array_to_string(parts[1:-3], '.') NOT IN ('www', 'blog', 'en', 'm', 'mobile', 'api') THEN 0.06 ELSE 0 END END"
+OBSCURE = f"""CASE WHEN list_contains({quoted(L.MAINSTREAM)}, domain) THEN 0.04 WHEN {sql_under('domain')} THEN 0.08 ELSE greatest(0.0, least(1.0, 0.4 * {SITE} + 0.1 * {sql_suffix('h')}
+ + 0.15 * least(0.9, 1 - 1 / (1 + 0.4 * len(list_filter(string_split({PATH}, '/'), lambda x: x <> '' AND x <> 'index.html' AND x <> 'index.php')))) + 0.35 * {RARE} - CASE WHEN s >= 2 THEN 0.12 ELSE 0 END)) END"""
+
+
+@query(f"SELECT page_id, round({OBSCURE}, 6) AS obscurity FROM (SELECT *, domain AS h, string_split(domain, '.') AS parts FROM {HOSTS}) JOIN (SELECT domain, count(*) AS n, count(DISTINCT page_id % 3) AS s FROM {HOSTS} GROUP BY 1) USING (domain)")
 def obscurity(spark, d):
     p = G.with_domain_counts(page_hosts(spark, d))
     return p.select("page_id", r6(G.obscurity(C("domain"), C("url"), C("rarity"), C("cross_penalty")), "obscurity"))
@@ -310,28 +406,32 @@ def exact_dedup(spark, d):
     return D.first_of(documents(spark, d).select("doc_id", F.md5("text").alias("digest")), "digest", "doc_id")
 
 
-def doc_titles(spark, d):
-    return documents(spark, d).select(C("doc_id").alias("pos"), D.title_tokens(F.array_join(F.slice(T.words(C("text")), 1, 10), " ")).alias("tokens"))
+PAGE_TITLE = "CASE WHEN length(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) BETWEEN 3 AND 200 THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE url END"
+
 
+def page_titles(spark, d):
+    return read(spark, d, "pages").select(C("page_id").alias("pos"), U.dedup_key(C("url")).alias("url_key"), D.title_tokens(H.title(C("html"), C("url"))).alias("tokens"))
 
-TITLE_TOKENS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(array_to_string(({TEXT})[1:10], ' ')), '[^a-z0-9 ]', '', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains({quoted(L.TITLE_STOPWORDS)}, x)))"
 
+TITLE_TOKENS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({PAGE_TITLE}), '[^a-z0-9 ]', '', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains({quoted(L.TITLE_STOPWORDS)}, x)))"
 
-@query(f"WITH t AS (SELECT doc_id, {TITLE_TOKENS} AS t FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM t a JOIN t b ON a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.75")
+
+@query(f"WITH t AS (SELECT page_id, {TITLE_TOKENS} AS t FROM pages) SELECT a.page_id AS a, b.page_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM t a JOIN t b ON a.page_id < b.page_id WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.75")
 def title_jaccard_pairs(spark, d):
-    return D.title_pairs(doc_titles(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.title_pairs(page_titles(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {TITLE_TOKENS} AS t FROM documents) SELECT doc_id FROM t b WHERE NOT EXISTS (SELECT 1 FROM t a WHERE a.doc_id < b.doc_id AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.75)")
+@query(f"WITH t AS (SELECT page_id, {TITLE_TOKENS} AS t FROM pages) SELECT page_id FROM t b WHERE NOT EXISTS (SELECT 1 FROM t a WHERE a.page_id < b.page_id AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.75)")
 def dedup_scalable(spark, d):
-    t = doc_titles(spark, d)
+    t = page_titles(spark, d)
     later = D.title_pairs(t).select(C("b").alias("pos")).distinct()
-    return t.join(later, "pos", "left_anti").select(C("pos").alias("doc_id"))
+    return t.join(later, "pos", "left_anti").select(C("pos").alias("page_id"))
 
 
 @query(None)
 def dedup_exact(spark, d):
-    rows = doc_titles(spark, d).withColumn("url_key", C("pos").cast("string")).withColumn("set_id", F.lit(0).cast("long"))
+    """The greedy rule over all pages as one list in order of page_id."""
+    rows = page_titles(spark, d).withColumn("set_id", F.lit(0).cast("long"))
     return D.dedup_exact(rows, "set_id").select("set_id", "pos")
 
 
@@ -339,6 +439,7 @@ def dedup_exact(spark, d):
 
 
 def user_queries(spark, d):
+    """Two to five first words of each user turn stand in for a query, as there is no log of queries."""
     c = read(spark, d, "conversations").filter("role = 'user'")
     return c.select("conv_id", "turn", F.array_join(F.slice(T.words(C("text")), F.lit(1), (C("conv_id") % 4 + 2).cast("int")), " ").alias("q"))
 
@@ -347,18 +448,34 @@ SQL_QUERIES = f"(SELECT conv_id, turn, array_to_string(({TEXT})[1:(conv_id % 4 +
 
 
 def sql_has(patterns) -> str:
-    return "(" + " OR ".join(f"regexp_matches(lower(q), '(^|[^a-z0-9]){p}($|[^a-z0-9])')" for p in patterns) + ")"
+    return f"regexp_matches(q, '(?i)(?:{'|'.join(map(pattern, patterns))})')"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'informational' WHEN {sql_has(L.FRESH)} THEN 'freshness_sensitive' WHEN len({WORDS.format('q')}) <= 4 AND {sql_has(L.NAVIGATIONAL)} THEN 'navigational' WHEN len({WORDS.format('q')}) >= 5 OR {sql_has(L.DEEP)} OR contains(q, '\"') THEN 'deep_research' ELSE 'informational' END AS intent FROM {SQL_QUERIES}")
+@query(f"SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'informational' WHEN {sql_has(L.FRESH)} THEN 'freshness_sensitive' WHEN len({WORDS.format('q')}) <= 4 AND {sql_has(L.NAVIGATIONAL)} THEN 'navigational' WHEN len({WORDS.format('q')}) >= 5 OR {sql_has(L.DEEP)} THEN 'deep_research' ELSE 'informational' END AS intent FROM {SQL_QUERIES}")
 def intent(spark, d):
     return user_queries(spark, d).select("conv_id", "turn", S.intent(C("q")).alias("intent"))
 
 
-@query(f"""SELECT conv_id, turn, (list_filter(list_distinct_kept, lambda x: x IS NOT NULL))[1:5] AS variants FROM (SELECT conv_id, turn, list_filter(f, lambda x, i: x IS NOT NULL AND list_position(f, x) = i) AS list_distinct_kept FROM (SELECT conv_id, turn, [q, CASE WHEN n <= 4 AND NOT contains(l, 'research') THEN q || ' research' END, CASE WHEN NOT contains(l, 'explain') THEN CASE WHEN n <= 3 AND NOT contains(l, 'how') THEN 'how ' || q || ' works' ELSE q || ' explained' END END, CASE WHEN NOT contains(l, 'discussion') AND NOT contains(l, 'forum') THEN q || ' discussion' END,
- CASE {' '.join(f"WHEN list_contains({WORDS.format('l')}, '{k}') THEN regexp_replace(l, '(^| ){k}( |$)', '\1{v}\2', 'g')" for k, v in L.SYNONYMS.items())} END] AS f FROM (SELECT conv_id, turn, trim(q) AS q, lower(trim(q)) AS l, len({WORDS.format('q')}) AS n FROM {SQL_QUERIES})))""".replace("\x01", "\\1").replace("\x02", "\\2"))
+SWAPPED = f"CASE {' '.join(f"WHEN regexp_matches(l, '{chr(92)}b{k}{chr(92)}b') THEN regexp_replace(q, '(?i){chr(92)}b{k}{chr(92)}b', '{v}', 'g')" for k, v in L.SYNONYMS.items())} END"
+FRAMES = f"""list_filter([q, CASE WHEN n <= 4 AND NOT {sql_any('l', L.ACADEMIC_TRIGGERS)} THEN q || ' research' END, CASE WHEN NOT {sql_any('l', L.TECHNICAL_TRIGGERS)} THEN CASE WHEN n <= 3 THEN 'how ' || q || ' works' ELSE q || ' explained' END END,
+ CASE WHEN NOT {sql_any('l', L.FORUM_TRIGGERS)} THEN q || ' discussion' END, {SWAPPED}], lambda x: x IS NOT NULL)"""
+VARIANTS = f"(SELECT conv_id, turn, (CASE WHEN q = '' THEN [q] ELSE list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i) END)[1:5] AS variants FROM (SELECT *, {FRAMES} AS f FROM (SELECT conv_id, turn, trim(q) AS q, lower(trim(q)) AS l, len({WORDS.format('q')}) AS n FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Best guide ' || q WHEN 1 THEN q || ' network forum' ELSE q END AS q FROM {SQL_QUERIES}))))"
+
+
+def framed_queries(spark, d):
+    """User queries, some with words that frames and substitutions look for, as invented prose has few."""
+    q = F.when(C("conv_id") % 3 == 0, F.concat(F.lit("Best guide "), "q")).when(C("conv_id") % 3 == 1, F.concat("q", F.lit(" network forum"))).otherwise(C("q"))
+    return user_queries(spark, d).withColumn("q", q)
+
+
+@query(f"SELECT conv_id, turn, variants FROM {VARIANTS}")
 def query_variants(spark, d):
-    return user_queries(spark, d).select("conv_id", "turn", S.variants(C("q")).alias("variants"))
+    return framed_queries(spark, d).select("conv_id", "turn", S.variants(C("q")).alias("variants"))
+
+
+@query(f"SELECT conv_id, turn, variants[2:4] AS extra FROM {VARIANTS}")
+def extra_variants(spark, d):
+    return framed_queries(spark, d).select("conv_id", "turn", S.extra_variants(C("q")).alias("extra"))
 
 
 INTENTS = ("informational", "freshness_sensitive", "deep_research", "navigational")
@@ -370,48 +487,23 @@ def weights_by_intent(spark, d):
     return spark.createDataFrame(rows, "intent string, " + ", ".join(f"{k} double" for k in R.SIGNALS))
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN len(w) < 2 THEN 0.0 WHEN len(list_filter(w, lambda x: contains(lower(t), x)))::DOUBLE / len(w) >= 0.8 AND n >= 6 THEN 0.12 WHEN len(list_filter(w, lambda x: contains(lower(t), x)))::DOUBLE / len(w) >= 0.65 AND n >= 8 THEN 0.07 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT conv_id, turn, list_filter({LOWER.format('q')}, lambda x: length(x) > 3) AS w, q || ' one two three' AS t, len({WORDS.format("(q || ' one two three')")}) AS n FROM {SQL_QUERIES})""")
+@query(f"""SELECT conv_id, turn, CASE WHEN len(w) < 2 THEN 0.0 WHEN len(list_filter(w, lambda x: contains(lower(t), x)))::DOUBLE / len(w) >= 0.8 AND n >= 6 THEN 0.12 WHEN len(list_filter(w, lambda x: contains(lower(t), x)))::DOUBLE / len(w) >= 0.65 AND n >= 8 THEN 0.07 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(lower(q), '[^\\p{{L}}\\p{{N}}_ \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+'), lambda x: length(x) > 3) AS w, q || ' one two three' AS t, len({WORDS.format("(q || ' one two three')")}) AS n FROM {SQL_QUERIES})""")
 def over_optimization(spark, d):
     return user_queries(spark, d).select("conv_id", "turn", R.over_optimised(F.concat("q", F.lit(" one two three")), C("q")).alias("penalty"))
 
 
 # ranking
 
-RANK_BASE = f"""SELECT doc_id, source, greatest(0.0, least(1.0, 0.26 * density + 0.22 * 0.5 + 0.2 + 0.09 * 0.5 + 0.09 * CASE WHEN n = 1 THEN 1.0 WHEN n = 2 THEN 0.6 WHEN n = 3 THEN 0.3 ELSE 0.1 END + 0.14)) AS final FROM ({DENSITY}) JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source)"""
+DOC_OBSCURE = OBSCURE.replace(PATH, "''").replace("CASE WHEN s >= 2 THEN 0.12 ELSE 0 END", "0")
 
 
-def scored_documents(spark, d):
-    rows = documents(spark, d).select(C("doc_id").alias("pos"), C("source").alias("domain"), C("lang").alias("source"), G.info_density(C("text")).alias("info_density"))
-    rows = G.with_domain_counts(rows)
-    half, zero = F.lit(0.5), F.lit(0.0)
-    rows = rows.withColumns({"obscurity": half, "commercial": zero, "freshness": half, "ai_spam": zero})
-    return rows.withColumn("final", F.round(R.linear_score(R.weights()), 6)).withColumn("pos", C("pos"))
-
-
-@query(f"SELECT doc_id, source AS domain, round(final, 6) AS final FROM ({RANK_BASE}) ORDER BY round(final, 6) DESC, doc_id LIMIT 20")
-def rank_linear(spark, d):
-    return scored_documents(spark, d).orderBy(F.desc("final"), "pos").limit(20).select(C("pos").alias("doc_id"), "domain", "final")
-
-
-BAGS = f"list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda y: trim(y)), lambda y: length(y) > 30), lambda y: list_distinct(list_filter({LOWER.format('y')}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))))"
-ALIKE = "CASE WHEN len(b) < 3 THEN 0.0 ELSE least(1.0, list_avg(list_transform(range(1, len(b)), lambda i: len(list_intersect(b[i], b[i + 1]))::DOUBLE / greatest(len(list_distinct(list_concat(b[i], b[i + 1]))), 1))) / 0.15) END"
-DOC_SPAM = f"""CASE WHEN k < 60 THEN 0.0 ELSE least(1.0, 0.15 * {UNIFORM} + 0.2 * {ALIKE} + 0.25 * least(1.0, {sql_count('text', L.GENERIC_PHRASES)} / greatest(k / 200.0, 1.0) / 2)
- + 0.1 * least(1.0, len(regexp_extract_all(text, '(?m)^#{{1,6}} .*$')) / greatest(k / 150.0, 1.0)) + 0.15 * least(1.0, {sql_count('text', L.CONNECTIVES)} / greatest(k / 80.0, 1.0) / 3)) END"""
-DOC_SALES = f"least(1.0, least({sql_count('text', L.AFFILIATE)} / 3.0, 1.0) * 0.4 + least({sql_count('text', L.LISTICLE)} / 6.0, 1.0) * 0.35 + least({sql_count('text', L.PRICES)} / 6.0, 1.0) * 0.15 + CASE WHEN regexp_matches(source, 'shop|store|deal') THEN 0.075 ELSE 0.0 END)"
-DOC_SUFFIX = "regexp_extract(source, '([a-z]+)$', 1)"
-DOC_REGISTERED = f"regexp_extract(source, '({'|'.join(m.replace('.', chr(92) + '.') for m in L.MAINSTREAM)})$', 1)"
-DOC_OBSCURE = f"""CASE WHEN {DOC_REGISTERED} = source THEN 0.04 WHEN {DOC_REGISTERED} <> '' AND source LIKE '%.' || {DOC_REGISTERED} THEN 0.08 ELSE least(1.0, 0.4 * CASE WHEN regexp_matches(source, '{'|'.join(L.COMMUNITY)}') THEN 0.8 WHEN regexp_matches(source, '{'|'.join(L.PERSONAL)}') THEN 0.7
- ELSE 0.45 + CASE WHEN contains(string_split(source, '.')[1], '-') THEN 0.08 ELSE 0 END + CASE WHEN len(string_split(source, '.')) > 2 AND source NOT LIKE 'm.%' THEN 0.06 ELSE 0 END END
- + 0.1 * (CASE {DOC_SUFFIX} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in L.SUFFIX_WEIGHT.items())} ELSE 0.3 END + CASE WHEN length({DOC_SUFFIX}) = 2 AND {DOC_SUFFIX} NOT IN ('co', 'uk', 'us') THEN 0.04 ELSE 0 END)
- + 0.35 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.55 WHEN 4 THEN 0.35 ELSE 0.15 END) END"""
-
-
-@query(f"""WITH t AS (SELECT doc_id, source, text, len({TEXT}) AS k, {LENGTHS.format('text')} AS l, {BAGS} AS b, {FP} AS fp, count(*) OVER (PARTITION BY source) AS n FROM documents),
- s AS (SELECT doc_id, n, {DOC_SPAM} AS spam, {DOC_SALES} AS sales, {DOC_OBSCURE} AS obscure, CASE WHEN fp IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY fp) THEN 0.1 ELSE 0.0 END AS again FROM t),
- r AS (SELECT doc_id, source AS domain, round(greatest(0.0, least(1.0, 0.26 * density + 0.22 * obscure + 0.2 * (1 - sales) + 0.09 * 0.5 + 0.09 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 ELSE 0.1 END + 0.14 * (1 - spam) - again)), 6) AS final FROM s JOIN ({DENSITY}) USING (doc_id))
+@query(f"""WITH t AS (SELECT doc_id, source, text, {LENGTHS.format('text')} AS l, {BAGS} AS b, {HEADINGS} AS w, {FP} AS fp, count(*) OVER (PARTITION BY source) AS n FROM documents),
+ s AS (SELECT doc_id, n, {SPAM.replace('STUFFING', '0.0')} AS spam, {BIAS.replace("'shop'", '§').replace('shop,', 'source,').replace('§', "'shop'")} AS sales, CASE WHEN fp IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY fp) THEN 0.1 ELSE 0.0 END AS again FROM t),
+ o AS (SELECT doc_id, {DOC_OBSCURE} AS obscure FROM (SELECT doc_id, source AS domain, '' AS h, [''] AS parts, n, 1 AS s FROM t)),
+ r AS (SELECT doc_id, source AS domain, round(greatest(0.0, least(1.0, 0.26 * density + 0.22 * obscure - 0.2 * sales + 0.09 * 0.5 + 0.09 * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 ELSE 0.1 END - 0.14 * spam - again)), 6) AS final FROM s JOIN o USING (doc_id) JOIN ({DENSITY}) USING (doc_id))
 SELECT doc_id, domain, final FROM r ORDER BY final DESC, doc_id LIMIT 20""")
-def rank_signals(spark, d):
-    """rank_linear with every signal that the table allows and the near-duplicate penalty; it has no title, URL, date or search engine."""
+def rank_linear(spark, d):
+    """The 20 best documents by all signals that the table allows and the near-duplicate penalty; it has no title, URL, date or search engine."""
     none, text = F.lit(""), C("text")
     rows = documents(spark, d).select(C("doc_id").alias("pos"), C("source").alias("domain"), "source", "text")
     rows = G.with_domain_counts(rows).withColumns({
@@ -424,11 +516,12 @@ def rank_signals(spark, d):
     return rows.join(first, "fp", "left").select(C("pos").alias("doc_id"), "domain", F.round(score, 6).alias("final")).orderBy(F.desc("final"), "doc_id").limit(20)
 
 
-DOC_RANK = "(SELECT doc_id AS pos, lang AS set_id, source AS domain, doc_id % 7 AS cluster, doc_id % 11 = 0 AS is_exploration, round((doc_id * 7919 % 1000) / 1000.0, 6) AS final, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 1000 DESC, doc_id) AS rank FROM documents)"
+#: 50 neighbouring documents stand in for the results of a request, so sets stay small whatever the table's size.
+DOC_RANK = "(SELECT doc_id AS pos, doc_id // 50 AS set_id, source AS domain, doc_id % 7 AS cluster, doc_id % 11 = 0 AS is_exploration, round((doc_id * 7919 % 1000) / 1000.0, 6) AS final, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id * 7919 % 1000 DESC, doc_id) AS rank FROM documents)"
 
 
 def ranked_documents(spark, d):
-    rows = documents(spark, d).select(C("doc_id").alias("pos"), C("lang").alias("set_id"), C("source").alias("domain"), (C("doc_id") % 7).alias("cluster"), (C("doc_id") % 11 == 0).alias("is_exploration"), F.round((C("doc_id") * 7919 % 1000) / 1000.0, 6).alias("final"))
+    rows = documents(spark, d).select(C("doc_id").alias("pos"), F.floor(C("doc_id") / 50).alias("set_id"), C("source").alias("domain"), (C("doc_id") % 7).alias("cluster"), (C("doc_id") % 11 == 0).alias("is_exploration"), F.round((C("doc_id") * 7919 % 1000) / 1000.0, 6).alias("final"))
     return R.ranked(rows, by=("set_id",))
 
 
@@ -446,7 +539,7 @@ def round_robin(spark, d):
 
 
 @query(f"""WITH c AS ({CAPPED}), s AS (SELECT set_id, least(greatest(2 - count(*) FILTER (in_top AND is_exploration), 0), count(*) FILTER (NOT in_top AND is_exploration), count(*) FILTER (in_top AND NOT is_exploration)) AS k FROM c GROUP BY 1),
- r AS (SELECT c.*, k, row_number() OVER (PARTITION BY set_id, in_top, is_exploration ORDER BY rank) AS up, row_number() OVER (PARTITION BY set_id, in_top, is_exploration ORDER BY final, rank DESC) AS down FROM c JOIN s USING (set_id))
+ r AS (SELECT c.*, k, row_number() OVER (PARTITION BY set_id, in_top, is_exploration ORDER BY rank) AS up, row_number() OVER (PARTITION BY set_id, in_top, is_exploration ORDER BY final, rank) AS down FROM c JOIN s USING (set_id))
  SELECT set_id, pos FROM r WHERE (NOT in_top AND is_exploration AND up <= k) OR (in_top AND NOT is_exploration AND down > k) OR (in_top AND is_exploration)""")
 def exploration_inject(spark, d):
     return R.inject_exploration(R.domain_cap(ranked_documents(spark, d), "set_id"), "set_id").filter("in_final").select("set_id", "pos")
@@ -481,7 +574,7 @@ def vote_boost(spark, d):
 
 # search
 
-TOKENS = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: length(x) > 2 AND NOT list_contains({quoted(L.STOPWORDS)}, x))"
+TOKENS = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: length(x) > 2 AND NOT list_contains({quoted(L.CLUSTER_STOPWORDS)}, x))"
 POSTS = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2)"
 
 
@@ -490,24 +583,24 @@ def bm25_build(spark, d):
     return S.postings(documents(spark, d), "doc_id", "text")[0].select("doc_id", "term", "tf")
 
 
-TERMS = ("the", "and", "thst")
+TERMS = ("ing", "tion", "thst")
 
 
-@query(f"""WITH p AS (SELECT * FROM {POSTS} WHERE term IN ('the', 'and', 'thst')), l AS (SELECT doc_id, len({TOKENS}) AS length FROM documents), n AS (SELECT count(*) AS docs, avg(length) AS mean FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+@query(f"""WITH p AS (SELECT * FROM {POSTS} WHERE term IN ('ing', 'tion', 'thst')), l AS (SELECT doc_id, len({TOKENS}) AS length FROM documents), n AS (SELECT count(*) AS docs, avg(length) AS mean FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
 SELECT doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25 FROM p JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY 1 HAVING count(*) = 3""")
 def bm25_search(spark, d):
-    posts, lengths = S.postings(documents(spark, d), "doc_id", "text")
-    return S.bm25(posts, lengths, "doc_id", list(TERMS)).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25_scan(documents(spark, d), {"text": 1.0}, list(TERMS), S.token_count).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(t, 'that the') THEN 4.0 WHEN contains(lower(text), 'that the') THEN 2.5 WHEN contains(t, 'that') AND contains(t, 'the') THEN 1.5 ELSE 0.4 * (contains(t, 'that')::INT + contains(t, 'the')::INT) END::DOUBLE AS boost FROM (SELECT doc_id, text, lower(text[1:60]) AS t FROM documents)")
+@query(f"SELECT page_id, CASE WHEN contains(t, 'that the') THEN 4.0 WHEN contains(lower(b), 'that the') THEN 2.5 WHEN contains(t, 'that') AND contains(t, 'the') THEN 1.5 ELSE 0.4 * (contains(t, 'that')::INT + contains(t, 'the')::INT) END::DOUBLE + CASE WHEN contains(lower(left(b, 300)), 'that the') THEN 0.5 ELSE 0.0 END AS boost FROM (SELECT page_id, lower({PAGE_TITLE}) AS t, {PLAIN} AS b FROM pages)")
 def phrase_boost(spark, d):
-    return documents(spark, d).select("doc_id", S.phrase_boost(F.substring("text", 1, 60), C("text"), "that the").cast("double").alias("boost"))
+    p = page_records(spark, d)
+    return p.select(C("pos").alias("page_id"), S.phrase_boost(C("title"), F.lower("content").contains("that the"), "that the", F.substring("content", 1, 300)).cast("double").alias("boost"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'thst') AND contains(lower(text), 'that')")
 def like_search(spark, d):
-    return S.like_search(documents(spark, d), "text", "thst that the").select("doc_id")
+    return S.like_search(documents(spark, d), ["text"], "thst that the").select("doc_id")
 
 
 @query(f"""WITH p AS (SELECT * FROM {POSTS}), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS docs FROM documents), r AS (SELECT doc_id, term, tf * (ln((1.0 + docs) / (1.0 + df)) + 1) AS raw FROM p JOIN f USING (term), n)
@@ -561,11 +654,12 @@ def store_gate(spark, d):
     return K.gate(store_rows(spark, d)).select("doc_id")
 
 
-@query("SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.score, o.score) AS score, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE 'old' END AS source FROM (SELECT doc_id, doc_id % 10 AS score FROM documents WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id, 100 + doc_id % 10 AS score FROM documents WHERE doc_id % 2 = 0) n ON o.doc_id = n.doc_id")
+@query("SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.score, o.score) AS score, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE 'old' END AS source FROM (SELECT doc_id, doc_id % 10 AS score FROM documents WHERE doc_id % 3 <> 0) o FULL JOIN (SELECT doc_id, 100 + doc_id % 10 AS score FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) n ON o.doc_id = n.doc_id")
 def page_upsert(spark, d):
+    """Stored and new pages; every document is in one of the two at least, some in both."""
     docs = documents(spark, d)
     old = docs.filter("doc_id % 3 <> 0").select("doc_id", (C("doc_id") % 10).alias("score"), F.lit("old").alias("source"))
-    new = docs.filter("doc_id % 2 = 0").select("doc_id", (C("doc_id") % 10 + 100).alias("score"), F.lit("new").alias("source"))
+    new = docs.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", (C("doc_id") % 10 + 100).alias("score"), F.lit("new").alias("source"))
     return K.upsert(old, new, "doc_id", ["score"])
 
 
@@ -583,15 +677,17 @@ def size_trim(spark, d):
     return K.trimmed(store_rows(spark, d), "doc_id", 500, "final", "doc_id").select("doc_id")
 
 
-@query(f"SELECT count(*) AS pages, count(DISTINCT source) AS domains, round(avg(final), 3) AS mean_score, count(*) FILTER (final >= 0.85) AS high FROM {STORE} JOIN documents USING (doc_id)")
+@query(f"SELECT count(*) AS total_pages, min(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (doc_id * 31 % 5000)) AS oldest_cached, round(avg(final), 3) AS avg_score, count(*) FILTER (final >= 0.85) AS high_value_pages, (SELECT count(DISTINCT source) FROM documents) AS total_domains FROM {STORE}")
 def store_stats(spark, d):
-    rows = store_rows(spark, d).join(documents(spark, d).select("doc_id", "source"), "doc_id")
-    return rows.agg(F.count("*").alias("pages"), F.countDistinct("source").alias("domains"), F.round(F.avg("final"), 3).alias("mean_score"), F.count_if(C("final") >= 0.85).alias("high"))
+    at = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=C("doc_id") * 31 % 5000)).cast("timestamp_ntz")
+    pages = store_rows(spark, d).select(C("final").alias("score"), at.alias("cached_at"))
+    return K.stats(pages, documents(spark, d).select("source").distinct())
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) >= 1000)")
 def orphan_purge(spark, d):
-    return read(spark, d, "labels").join(documents(spark, d).filter("doc_id % 2 = 0"), "doc_id", "left_semi").select("doc_id")
+    """Labels of documents that are stored; those with 1,000 characters are."""
+    return read(spark, d, "labels").join(documents(spark, d).filter(F.length("text") >= 1000), "doc_id", "left_semi").select("doc_id")
 
 
 MEANS = "(SELECT user_id, count(*) AS page_count, avg(value) AS avg_score, max(ts) AS last_seen FROM events GROUP BY 1)"
@@ -615,9 +711,18 @@ def trust_decay(spark, d):
     return m.select("user_id", F.round(K.decayed_trust(C("avg_score"), C("last_seen").cast("timestamp"), F.lit("2024-02-06 00:00:00").cast("timestamp")), 4).alias("trust"))
 
 
-@query("SELECT CASE WHEN t >= 0.75 THEN 'high' WHEN t >= 0.55 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM (SELECT c_custkey % 100 / 100.0 AS t FROM customer) GROUP BY 1")
+#: Trust of sources by the letters of their names; a third of them is unknown.
+SOURCE_TRUST = "(SELECT source, (length(source) * 7 + ascii(source)) % 100 / 100.0 AS trust FROM (SELECT DISTINCT source FROM documents) WHERE (length(source) + ascii(source)) % 3 <> 0)"
+
+
+def source_trust(spark, d):
+    n, a = F.length("source"), F.ascii("source")
+    return documents(spark, d).select("source").distinct().filter((n + a) % 3 != 0).select("source", ((n * 7 + a) % 100 / 100.0).alias("trust"))
+
+
+@query(f"SELECT CASE WHEN t >= 0.75 THEN 'high' WHEN t >= 0.55 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM (SELECT coalesce(trust, 0.5) AS t FROM documents LEFT JOIN {SOURCE_TRUST} USING (source)) GROUP BY 1")
 def trust_distribution(spark, d):
-    return read(spark, d, "customer").select(K.trust_band(C("c_custkey") % 100 / 100.0).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    return documents(spark, d).join(source_trust(spark, d), "source", "left").select(K.trust_band(C("trust")).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 
 
 @query("SELECT lang, coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -625,9 +730,16 @@ def source_histogram(spark, d):
     return documents(spark, d).groupBy("lang", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT page_id FROM {HOSTS} WHERE NOT regexp_matches(domain, '{'|'.join(L.CORPORATE)}')")
+FORUM = f"(list_contains({quoted(L.FORUM_HOSTS)}, domain) OR {sql_any('domain', L.FORUM_PARTS)} OR {sql_any('url', L.FORUM_PARTS)})"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {HOST} AS domain, len({WORDS.format(PLAIN)}) AS n FROM pages)
+SELECT page_id, 'exclude_corporate' AS filter FROM p WHERE NOT {sql_any('domain', L.CORPORATE)} UNION ALL SELECT page_id, 'forums_only' FROM p WHERE {FORUM} UNION ALL SELECT page_id, 'long_form_only' FROM p WHERE n > 800""")
 def hard_filters(spark, d):
-    return page_hosts(spark, d).filter(~U.any_of(C("domain"), L.CORPORATE)).select("page_id")
+    """Pages that each of the three filters lets through."""
+    rows = page_records(spark, d).select(C("pos").alias("page_id"), "url", "domain", "word_count")
+    kept = [P.filtered(rows, SearchPrefs("q", **{name: True})).select("page_id", F.lit(name).alias("filter")) for name in ("exclude_corporate", "forums_only", "long_form_only")]
+    return reduce(DataFrame.unionByName, kept)
 
 
 @query("SELECT left(sha256(lower(trim(event_type))), 32) AS query_hash, arg_min(event_type, (ts, event_type)) AS query, arg_max(user_id::VARCHAR, (ts, user_id::VARCHAR)) AS intent, count(*) AS search_count FROM events GROUP BY 1")
@@ -654,14 +766,18 @@ def depth_limit(spark, d):
     return read(spark, d, "customer").select("c_custkey", B.depth_limit(C("c_custkey") % 100 / 100.0, "deep_research").alias("depth"))
 
 
-REQUESTS = "(SELECT o_custkey % 100 AS set_id, o_custkey AS domain, o_orderkey AS pos, o_orderkey % 4 + 1 AS want, 6 AS limit_ FROM orders)"
+#: A customer is a request, its orders ask for pages of three domains.
+REQUESTS = "(SELECT o_custkey AS set_id, o_orderkey % 3 AS domain, o_orderkey AS pos, o_orderkey % 4 + 1 AS want, 6 AS limit_ FROM orders)"
+
+
+def page_requests(spark, d):
+    return read(spark, d, "orders").select(C("o_custkey").alias("set_id"), (C("o_orderkey") % 3).alias("domain"), C("o_orderkey").alias("pos"), (C("o_orderkey") % 4 + 1).alias("want"), F.lit(6).cast("long").alias("limit"))
 
 
 @query(f"""WITH a AS (SELECT *, sum(want) OVER (PARTITION BY set_id, domain ORDER BY pos) AS cum FROM {REQUESTS}), b AS (SELECT *, least(limit_, cum) - least(limit_, cum - want) AS c FROM a), e AS (SELECT *, sum(c) OVER (PARTITION BY set_id ORDER BY pos) AS t FROM b)
 SELECT pos, (least(25, t) - least(25, t - c))::BIGINT AS granted FROM e""")
 def budget_allocate(spark, d):
-    rows = read(spark, d, "orders").select((C("o_custkey") % 100).alias("set_id"), C("o_custkey").alias("domain"), C("o_orderkey").alias("pos"), (C("o_orderkey") % 4 + 1).alias("want"), F.lit(6).cast("long").alias("limit"))
-    return B.allocate(rows, "set_id", 25).select("pos", C("granted").cast("long").alias("granted"))
+    return B.allocate(page_requests(spark, d), "set_id", 25).select("pos", C("granted").cast("long").alias("granted"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 100 < 50 ORDER BY md5(c_custkey::VARCHAR || '0') LIMIT 25")

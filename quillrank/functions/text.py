@@ -1,19 +1,30 @@
-"""Word, sentence and paragraph expressions (Column -> Column), all JVM-side."""
+"""Word, sentence and paragraph expressions (Column -> Column), all JVM-side.
+
+Words are runs without ASCII white space. Where words only have to be counted or picked, one pass of a pattern over the
+text does it: lambdas over arrays are interpreted for each word.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = "[ \\t\\n\\r]+"
+SPACE, NO_SPACE = "[ \\t\\n\\r]+", "[^ \\t\\n\\r]"
+#: Where a word starts and ends.
+START, END = f"(?<!{NO_SPACE})", f"(?!{NO_SPACE})"
 
 
 def safe(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    return F.btrim(safe(c), F.lit(" \t\n\r"))
+
+
 def words(c: Column) -> Column:
-    return F.filter(F.split(safe(c), SPACE), lambda w: w != "")
+    t = stripped(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
 def let(value: Column, body) -> Column:
@@ -22,11 +33,35 @@ def let(value: Column, body) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(safe(c), F.lit(NO_SPACE + "+"))
+
+
+def words_like(c: Column, pattern: str) -> Column:
+    """The words that match a pattern as a whole."""
+    return F.regexp_extract_all(safe(c), F.lit(f"{START}(?:{pattern}){END}"), F.lit(0))
+
+
+def count_words_like(c: Column, pattern: str) -> Column:
+    return F.regexp_count(safe(c), F.lit(f"{START}(?:{pattern}){END}"))
+
+
+def first_words(c: Column, n: int) -> Column:
+    """The first n words, each followed by white space or the end; only so much of the text is read."""
+    return words(F.regexp_extract(safe(c), f"^[ \\t\\n\\r]*(?:{NO_SPACE}+(?:{SPACE}|$)){{0,{n}}}", 0))
+
+
+def trigrams(spaced: Column) -> Column:
+    """All three consecutive words of a text whose words stand one space apart."""
+    return F.regexp_extract_all(spaced, F.lit("(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+)(?![^ ]))"), F.lit(1))
 
 
 def sentences(c: Column, longer_than: int = 8) -> Column:
-    return F.filter(F.transform(F.split(safe(c), "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(safe(c), "[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\r"))), lambda s: F.length(s) > longer_than)
+
+
+def sentence_lengths(c: Column) -> Column:
+    """Words of each sentence; sentences have no white space at their ends."""
+    return F.transform(sentences(c), lambda s: F.size(F.split(s, SPACE)))
 
 
 def mean(a: Column) -> Column:
@@ -50,7 +85,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 
 def is_in(word: Column, vocabulary) -> Column:
-    return F.array_contains(F.array(*[F.lit(w) for w in vocabulary]), word)
+    return word.isin(*vocabulary)
 
 
 def jaccard(a: Column, b: Column) -> Column:

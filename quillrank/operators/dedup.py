@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import TITLE_STOPWORDS
+from ..scratch import Scratch
 
 
 def first_of(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -23,8 +24,8 @@ def title_tokens(t: Column) -> Column:
 
 def fingerprint(c: Column, least: int = 60, most: int = 300) -> Column:
     """Of the first 300 lower-cased words of a text with 60 words or more, else null."""
-    w = T.words(F.lower(T.safe(c)))
-    return F.when(F.size(w) >= least, F.left(F.md5(F.array_join(F.slice(w, 1, most), " ")), F.lit(16)))
+    head = T.first_words(F.lower(T.safe(c)), most)
+    return T.let(head, lambda w: F.when(F.size(w) >= least, F.left(F.md5(F.array_join(w, " ")), F.lit(16))))
 
 
 def title_pairs(df: DataFrame, tokens: str = "tokens", pos: str = "pos", least: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
@@ -47,8 +48,6 @@ def dedup_exact(df: DataFrame, by: str, least: float = 0.75) -> DataFrame:
     Rows of equal titles are one node of the similarity links, so copies make no pairs. In each round the undecided rows
     without an earlier undecided row of their key or of a similar title are kept, and what they exclude goes.
     """
-    from ..llm.common import Scratch  # needs the packages of the corpus operators
-
     scratch = Scratch(df.sparkSession, "dedup")
     rows = scratch.keep(df.select(by, "pos", "url_key", F.sort_array(F.array_distinct("tokens")).alias("title")), "rows")
     titles = scratch.keep(rows.filter(F.size("title") > 0).groupBy(by, "title").agg(F.min("pos").alias("head")), "titles")

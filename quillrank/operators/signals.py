@@ -1,4 +1,8 @@
-"""Page signals as expressions. All scores lie in [0, 1]; set-relative ones are windows over the set's partition."""
+"""Page signals as expressions. All scores lie in [0, 1]; set-relative ones are one aggregation by domain.
+
+A signal takes the text as a column. Counts of words come from one pass of a pattern each, so the text stays in generated
+code; only sentences and paragraphs go through lambdas.
+"""
 
 from __future__ import annotations
 
@@ -11,114 +15,195 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions import urls as U
 
+#: Steps of a count: the first for 1, the second for 2, ..., the last for more. Fixed values.
+DIVERSITY, RARITY = (1.0, 0.6, 0.3, 0.1), (1.0, 0.8, 0.55, 0.35, 0.15)
+_W = T.NO_SPACE
+_ACRONYM = "(?=[^ \\t\\n\\r]*\\p{Lu})[^ \\t\\n\\r\\p{Ll}]{2,}"
+_OTHER_TERM = f"(?!{_ACRONYM}{T.END})(?:(?={_W}*[0-9]){_W}{{3,}}|(?={_W}*-){_W}{{7,}}|{_W}{{10,}})"
+_MEANINGFUL = f"(?!(?:{'|'.join(w for w in L.STOPWORDS if len(w) > 3)}){T.END}){_W}{{4,}}"
+
+
+def total(parts) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
 
 def counted(c: Column, patterns) -> Column:
-    return reduce(lambda a, b: a + b, [T.matches(F.lower(c), p) for p in patterns])
+    """Matches of all patterns, whatever the case."""
+    return total([T.matches(c, "(?i)" + p) for p in patterns])
 
 
 def strip_boilerplate(c: Column) -> Column:
     out = reduce(lambda a, p: F.regexp_replace(a, "(?i)" + p, " "), L.BOILERPLATE, T.safe(c))
-    return F.trim(F.regexp_replace(out, "[ \\t\\n\\r]{2,}", " "))
+    return T.stripped(F.regexp_replace(out, "[ \\t\\n\\r]{2,}", " "))
 
 
 def sentence_variance(c: Column) -> Column:
-    lengths = F.transform(T.sentences(c), T.word_count)
-
     def score(cv: Column) -> Column:
         return F.when(cv < 0.15, cv / 0.15 * 0.3).when(cv <= 0.8, 0.3 + (cv - 0.15) / 0.65 * 0.7).otherwise(F.greatest(F.lit(0.0), 1 - (cv - 0.8) * 0.5))
 
-    return T.let(lengths, lambda x: F.when(F.size(x) < 4, 0.5).otherwise(T.let(T.variation(x), score)))
+    return T.let(T.sentence_lengths(c), lambda x: F.when(F.size(x) < 4, 0.5).otherwise(T.let(T.variation(x), score)))
 
 
 def lexical_diversity(c: Column) -> Column:
-    kept = F.filter(F.transform(T.words(c), F.lower), lambda w: (F.length(w) > 3) & ~T.is_in(w, L.STOPWORDS))
-    return F.when(F.size(kept) == 0, 0.0).otherwise(F.least(F.size(F.array_distinct(kept)) / F.greatest(F.size(kept), F.lit(1)), F.lit(0.95)))
+    kept = T.words_like(F.lower(T.safe(c)), _MEANINGFUL)
+    return T.let(kept, lambda k: F.when(F.size(k) == 0, 0.0).otherwise(F.least(F.size(F.array_distinct(k)) / F.greatest(F.size(k), F.lit(1)), F.lit(0.95))))
 
 
 def technical_vocabulary(c: Column) -> Column:
-    w = T.words(c)
-    points = F.aggregate(w, F.lit(0), lambda s, x: s + F.when((F.length(x) >= 2) & x.rlike("^[A-Z]+$"), 2).when((F.length(x) > 2) & x.rlike("[0-9]"), 1).when((F.length(x) > 6) & x.contains("-"), 1).when(F.length(x) >= 10, 1).otherwise(0))
-    return F.when(F.size(w) == 0, 0.0).otherwise(F.least(points / F.greatest(F.size(w), F.lit(1)) / 0.10, F.lit(1.0)))
+    """Words without small letters count 2; with a digit, long hyphenated and very long ones 1; each by its first match."""
+    points = 2 * T.count_words_like(c, _ACRONYM) + T.count_words_like(c, _OTHER_TERM)
+    return F.least(points / F.greatest(T.word_count(c), F.lit(1)) / 0.10, F.lit(1.0))
 
 
 def filler_penalty(c: Column) -> Column:
-    w = F.transform(T.words(c), F.lower)
-    share = F.size(F.filter(w, lambda x: T.is_in(x, L.FILLER))) / F.greatest(F.size(w), F.lit(1))
+    share = T.count_words_like(F.lower(T.safe(c)), "|".join(L.FILLER)) / F.greatest(T.word_count(c), F.lit(1))
     return F.least(share / 0.10 * 0.35, F.lit(0.35))
 
 
 def trigram_repetition(c: Column) -> Column:
-    w = F.filter(F.transform(T.words(c), F.lower), lambda x: x.rlike("^\\p{L}+$"))
-    after = lambda k: F.slice(w, k, F.greatest(F.size(w), F.lit(1)))  # noqa: E731  shifted copies, so that w is not evaluated for each place
-    pairs = F.zip_with(w, after(2), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.filter(F.zip_with(pairs, after(3), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-    repeated = 1 - F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))
-    return F.when((T.word_count(c) < 40) | (F.size(w) < 30), 0.0).otherwise(F.least(repeated / 0.20 * 0.30, F.lit(0.30)))
+    def score(w: Column) -> Column:
+        repeated = lambda g: 1 - F.size(F.array_distinct(g)) / F.greatest(F.size(g), F.lit(1))
+        return F.when(F.size(w) < 30, 0.0).otherwise(F.least(T.let(T.trigrams(F.array_join(w, " ")), repeated) / 0.20 * 0.30, F.lit(0.30)))
+
+    return F.when(T.word_count(c) < 40, 0.0).otherwise(T.let(T.words_like(F.lower(T.safe(c)), "\\p{L}+"), score))
+
+
+def paragraphs(c: Column, longer_than: int) -> Column:
+    return F.filter(F.transform(F.split(T.safe(c), "\\n{2,}"), lambda p: F.btrim(p, F.lit(" \t\n\r"))), lambda p: F.length(p) > longer_than)
+
 
+def paragraph_depth(c: Column) -> Column:
+    """1 at four sentences a paragraph; 0.5 for fewer than two paragraphs."""
+    counts = F.transform(paragraphs(c, 20), lambda p: F.size(T.sentences(p)))
+    return T.let(counts, lambda n: F.when(F.size(n) < 2, 0.5).otherwise(T.clamp(1 - F.abs(T.mean(n) - 4) / 5)))
 
-def info_density(c: Column) -> Column:
-    """Paragraph depth is 0.5 throughout, as boilerplate stripping joins the paragraphs."""
+
+def info_density(c: Column, paragraph_mode: str = "collapsed") -> Column:
+    """Stripping of boilerplate joins the paragraphs, so their depth is 0.5; paragraph_mode 'raw' takes it from the text itself."""
+    depth = paragraph_depth(c) if paragraph_mode == "raw" else F.lit(0.5)
 
     def density(body: Column) -> Column:
         n = T.word_count(body)
-        raw = 0.25 * (1 - F.exp(-n / F.lit(800.0))) + 0.25 * lexical_diversity(body) + 0.20 * sentence_variance(body) + 0.15 * technical_vocabulary(body) + 0.15 * 0.5 - filler_penalty(body) - trigram_repetition(body)
+        raw = 0.25 * (1 - F.exp(-n / F.lit(800.0))) + 0.25 * lexical_diversity(body) + 0.20 * sentence_variance(body) + 0.15 * technical_vocabulary(body) + 0.15 * depth - filler_penalty(body) - trigram_repetition(body)
         return F.when(n < 30, 0.05).otherwise(T.clamp(raw * F.least(n / F.lit(200.0), F.lit(1.0))))
 
     return T.let(strip_boilerplate(c), density)
 
 
+def per_words(hits: Column, c: Column, words: float) -> Column:
+    return hits / (F.greatest(T.word_count(c), F.lit(1)) / F.lit(words))
+
+
 def phrase_density(c: Column) -> Column:
-    return F.least(counted(c, L.GENERIC_PHRASES) / F.greatest(T.word_count(c) / F.lit(200.0), F.lit(1.0)) / 2, F.lit(1.0))
+    return F.least(per_words(counted(c, L.GENERIC_PHRASES), c, 200.0) / 2, F.lit(1.0))
 
 
 def connective_flood(c: Column) -> Column:
-    return F.least(counted(c, L.CONNECTIVES) / F.greatest(T.word_count(c) / F.lit(80.0), F.lit(1.0)) / 3, F.lit(1.0))
+    return F.least(per_words(counted(c, L.CONNECTIVES), c, 80.0) / 3, F.lit(1.0))
+
+
+def heading_density(c: Column) -> Column:
+    """Headings by # or in capitals, for each 150 words."""
+    found = T.matches(c, "(?m)(?:^|\\n)(#{1,4}[ \\t\\n\\r]+.+|[A-Z][A-Z &:]{4,40}(?:\\n|$))")
+    return F.when(T.word_count(c) == 0, 0.0).otherwise(F.least(per_words(found, c, 150.0), F.lit(1.0)))
 
 
 def sentence_uniformity(c: Column) -> Column:
-    lengths = F.transform(T.sentences(c), T.word_count)
-    return T.let(lengths, lambda x: T.let(T.variation(x), lambda cv: F.when((F.size(x) < 6) | (cv >= 0.5), 0.0).otherwise((0.5 - cv) / 0.5)))
+    score = lambda x: T.let(T.variation(x), lambda cv: F.when((F.size(x) < 6) | (cv >= 0.5), 0.0).otherwise((0.5 - cv) / 0.5))
+    return T.let(T.sentence_lengths(c), score)
+
+
+def paragraph_similarity(c: Column) -> Column:
+    """Mean overlap of the words of neighbouring paragraphs; pairs with a side without words don't count."""
+    bag = lambda p: F.array_except(F.array_distinct(T.words(F.regexp_replace(F.lower(p), "[^a-z ]", ""))), F.array(*map(F.lit, L.PARAGRAPH_STOPWORDS)))
+
+    def score(bags: Column) -> Column:
+        n = F.greatest(F.size(bags) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(bags, 1, n), F.slice(bags, 2, n), lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), T.jaccard(a, b)))
+        return F.when(F.size(bags) < 3, 0.0).otherwise(F.least(T.mean(F.array_compact(pairs)) / 0.15, F.lit(1.0)))
+
+    return T.let(F.transform(paragraphs(c, 30), bag), score)
 
 
 def title_stuffing(t: Column) -> Column:
-    t = T.safe(t)
-    bars, brackets, caps = T.matches(t, "[|:–—]| - "), T.matches(t, "[(\\[]"), F.size(F.filter(T.words(t), lambda w: w.rlike("^[A-Z]{2,}$")))
-    step = lambda n, two, a, b: F.when(n >= two, a).when(n >= two - 1, b).otherwise(0.0)
-    score = step(bars, 2, 0.55, 0.20) + F.when(t.rlike("(?i)^(top |best )?[0-9]+ "), 0.25).otherwise(0.0) + F.when(F.length(t) > 90, 0.30).when(F.length(t) > 70, 0.12).otherwise(0.0) + step(brackets, 2, 0.20, 0.05) + step(caps, 3, 0.20, 0.08) + F.when(t.rlike("(?i)^(how to|why|what is|the ultimate)"), 0.15).otherwise(0.0)
+    t = T.stripped(t)
+    count = lambda p: T.matches(t, p)
+    step = lambda n, two, a, b: F.when(n >= two, a).when(n == two - 1, b).otherwise(0.0)
+    score = step(count("[ \\t\\n\\r]*[|–—][ \\t\\n\\r]*"), 2, 0.55, 0.20)
+    score += F.when(t.rlike("(?i)\\b[0-9]{1,2}[ \\t\\n\\r]+(things?|ways?|tips?|tricks?|steps?|methods?|ideas?|tools?|apps?|sites?)\\b"), 0.25).otherwise(0.0)
+    score += F.when(F.length(t) > 90, 0.30).when(F.length(t) > 70, 0.12).otherwise(0.0)
+    score += step(count("[(\\[][^)\\]]{3,30}[)\\]]"), 2, 0.20, 0.05)
+    score += step(count("\\b[A-Z]{3,}\\b"), 3, 0.20, 0.08)
+    score += F.when(t.rlike("(?i)^(best|top|ultimate|complete|definitive|full|free|cheap)[ \\t\\n\\r]+"), 0.15).otherwise(0.0)
     return F.when(F.length(t) < 8, 0.0).otherwise(F.least(score, F.lit(1.0)))
 
 
+#: Parts of ai_spam with their weights; fixed values.
+SPAM_PARTS = {"sentence_uniformity": 0.15, "paragraph_similarity": 0.20, "generic_phrase_density": 0.25, "heading_density": 0.10, "connective_flood": 0.15, "title_stuffing": 0.15}
+
+
+def spam_parts(title: Column, c: Column) -> dict[str, Column]:
+    return dict(zip(SPAM_PARTS, (sentence_uniformity(c), paragraph_similarity(c), phrase_density(c), heading_density(c), connective_flood(c), title_stuffing(title)), strict=True))
+
+
 def ai_spam(title: Column, c: Column) -> Column:
-    """Paragraph and heading parts need blank lines; texts of one paragraph get 0 for them."""
-    paragraphs = F.filter(F.transform(F.split(T.safe(c), "\n\n+"), lambda p: F.trim(p)), lambda p: F.length(p) > 30)
-    bags = F.transform(paragraphs, lambda p: F.array_distinct(F.filter(F.transform(T.words(p), F.lower), lambda w: w.rlike("^\\p{L}+$"))))
-    pairs = F.zip_with(F.slice(bags, 1, F.greatest(F.size(bags) - 1, F.lit(0))), F.slice(bags, 2, F.greatest(F.size(bags) - 1, F.lit(0))), T.jaccard)
-    alike = F.when(F.size(paragraphs) < 3, 0.0).otherwise(F.least(T.mean(pairs) / 0.15, F.lit(1.0)))
-    headings = F.least(T.matches(c, "(?m)^#{1,6} .*$") / F.greatest(T.word_count(c) / F.lit(150.0), F.lit(1.0)), F.lit(1.0))
-    full = 0.15 * sentence_uniformity(c) + 0.20 * alike + 0.25 * phrase_density(c) + 0.10 * headings + 0.15 * connective_flood(c) + 0.15 * title_stuffing(title)
+    full = total([SPAM_PARTS[k] * v for k, v in spam_parts(title, c).items()])
     return F.when(T.word_count(c) < 60, 0.5 * title_stuffing(title)).otherwise(T.clamp(full))
 
 
-def commercial_bias(c: Column, domain: Column) -> Column:
-    part = lambda family, most, weight: F.least(counted(c, family) / F.lit(most), F.lit(1.0)) * weight
-    shop = F.when(U.any_of(domain, ("shop", "store", "deal")), 0.075).otherwise(0.0)
-    return T.clamp(part(L.AFFILIATE, 3.0, 0.40) + part(L.LISTICLE, 6.0, 0.35) + part(L.PRICES, 6.0, 0.15) + shop)
+def templated_headings(c: Column) -> Column:
+    """More than four # headings of which less than 0.4 have a first word of their own."""
+    first = F.transform(F.regexp_extract_all(T.safe(c), F.lit("(?m)(?:^|\\n)(#{1,4}[ \\t\\n\\r]+.+)"), F.lit(1)), lambda h: F.lower(F.regexp_extract(h, "^#{1,4}[ \\t\\n\\r]+(\\w+)", 1)))
+
+    def test(all_: Column) -> Column:
+        return T.let(F.filter(all_, lambda w: w != ""), lambda w: (F.size(all_) > 4) & (F.size(w) > 0) & (F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)) < 0.4))
+
+    return T.let(first, test)
+
+
+def commercial_bias(c: Column, domain: Column, *more: Column) -> Column:
+    """Of the content, and of `more` texts (snippet, title, URL) that are counted with it; all joined by spaces."""
+    text = F.concat_ws(" ", T.safe(c), *map(T.safe, more)) if more else T.safe(c)
+
+    def score(t: Column) -> Column:
+        part = lambda family, most, weight: F.least(counted(t, family) / F.lit(most), F.lit(1.0)) * weight
+        links = part(L.AFFILIATE, 3.0, 0.40)
+        links = F.when(templated_headings(c), F.least(links + 0.15, F.lit(0.40))).otherwise(links)
+        shop = F.when(U.any_of(F.lower(T.safe(domain)), L.SHOP_WORDS), 0.75 * 0.10).otherwise(0.0)
+        return T.clamp(links + part(L.LISTICLE, 6.0, 0.35) + part(L.PRICES, 6.0, 0.15) + shop)
+
+    return T.let(text, score)
 
 
 def freshness(day: Column, as_of: Column) -> Column:
-    age = F.datediff(as_of, day)
+    """Of a date or time; whole days of age count."""
+    at = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    age = F.floor((at(as_of) - at(day)) / 86400)
     return F.when(day.isNull(), 0.5).when(age <= 0, 1.0).otherwise(F.exp(-age / F.lit(365.0)))
 
 
-DATES = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd", "yyyy")
+#: Ten formats of dates in the order in which they are tried, with the texts that each takes; fixed values.
+DATES = (
+    ("yyyy-M-d", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"),
+    ("yyyy-M-d'T'H:m:s", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"),
+    ("yyyy-M-d'T'H:m:s'Z'", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}Z"),
+    ("yyyy-M-d'T'H:m:sxx", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}[+-][0-9]{4}"),
+    ("yyyy-M-d'T'H:m:sxxx", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}[+-][0-9]{2}:[0-9]{2}"),
+    ("MMMM d, yyyy", "[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}"),
+    ("MMM d, yyyy", "[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}"),
+    ("d MMMM yyyy", "[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}"),
+    ("d MMM yyyy", "[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}"),
+    ("yyyy", "[0-9]{4}"),
+)
 
 
 def parsed_date(c: Column) -> Column:
-    """The first of ten formats that fits the first 25 characters; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(F.substring(T.safe(c), 1, 25)), F.lit(f)) for f in DATES])
+    """The time that the first 25 characters state, in UTC where they name no offset; null if no format fits."""
+    t = F.trim(F.substring(T.safe(c), 1, 25))
+    return F.coalesce(*[F.when(t.rlike(f"^{p}$"), F.try_to_timestamp(t, F.lit(f))) for f, p in DATES])
 
 
-def steps(n: Column, levels: list[float]) -> Column:
+def steps(n: Column, levels) -> Column:
     """levels[0] for a count of 1, levels[1] for 2, ..., the last for more."""
     out = F.lit(levels[-1])
     for k in range(len(levels) - 2, -1, -1):
@@ -130,34 +215,72 @@ def with_domain_counts(df: DataFrame, by: tuple[str, ...] = (), domain: str = "d
     """diversity, rarity and cross-source penalty of each row, relative to its set; one shuffle on the domain."""
     counts = df.groupBy(*by, domain).agg(F.count("*").alias("domain_n"), F.countDistinct(source).alias("domain_sources"))
     n = F.col("domain_n")
-    return df.join(counts, [*by, domain], "left").withColumn("diversity", steps(n, [1.0, 0.6, 0.3, 0.1])).withColumn("rarity", steps(n, [1.0, 0.8, 0.55, 0.35, 0.15])).withColumn("cross_penalty", F.when(F.col("domain_sources") >= 2, 0.12).otherwise(0.0))
+    return df.join(counts, [*by, domain], "left").withColumn("diversity", steps(n, DIVERSITY)).withColumn("rarity", steps(n, RARITY)).withColumn("cross_penalty", F.when(F.col("domain_sources") >= 2, 0.12).otherwise(0.0))
 
 
 def url_depth(url: Column) -> Column:
-    d = F.size(F.filter(U.segments(U.path(url)), lambda s: ~s.rlike("^index\\.")))
+    d = F.size(F.filter(U.segments(U.path(url)), lambda s: ~s.isin("index.html", "index.php")))
     return F.least(1 - 1 / (1 + 0.4 * d), F.lit(0.9))
 
 
 def suffix_weight(h: Column) -> Column:
-    suffix = F.regexp_extract(h, "([a-z]+)$", 1)
-    out = F.lit(0.3)
-    for k, v in L.SUFFIX_WEIGHT.items():
-        out = F.when(suffix == k, v).otherwise(out)
-    return out + F.when((F.length(suffix) == 2) & ~suffix.isin("co", "uk", "us"), 0.04).otherwise(0.0)
-
-
-def site_type(h: Column) -> Column:
-    base = F.lit(0.45) + F.when(F.split(h, "\\.")[0].contains("-"), 0.08).otherwise(0.0) + F.when((F.size(F.split(h, "\\.")) > 2) & ~h.startswith("m."), 0.06).otherwise(0.0)
-    return F.when(U.any_of(h, L.COMMUNITY), 0.80).when(U.any_of(h, L.PERSONAL), 0.70).otherwise(base)
-
-
-def obscurity(h: Column, url: Column, rarity: Column, cross: Column) -> Column:
-    score = 0.40 * site_type(h) + 0.10 * suffix_weight(h) + 0.15 * url_depth(url) + 0.35 * rarity - cross
-    return F.when(h.isin(*L.MAINSTREAM), 0.04).when(U.registered_domain(h).isin(*L.MAINSTREAM), 0.08).otherwise(T.clamp(score))
-
-
-def content_type(url: Column, c: Column) -> Column:
-    u, body = F.lower(T.safe(url)), F.lower(F.substring(T.safe(c), 1, 2000))
-    points = {"Forum": T.matches(u, "/(forum|thread|topic)s?/") + 3 * U.any_of(u, ("forum.", "community.")).cast("int"), "Academic": T.matches(u, "/(paper|abs|doi)/") + 2 * T.matches(body, "abstract|et al"), "Docs": T.matches(u, "/(docs|reference|api)/"), "News": T.matches(u, "/(news|story)/") + 2 * U.any_of(u, ("news.",)).cast("int"), "Commercial": 2 * T.matches(body, "buy now|add to cart"), "Blog": T.matches(body, "i think|my experience") + 2 * U.any_of(u, ("blog.",)).cast("int")}
-    best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, p) in enumerate(points.items())]))
-    return F.when(best["p"] > 0, best["k"]).otherwise("Unknown")
+    """Of a host's last label; a host without a suffix counts as com. Country codes but co, uk and us add .04."""
+    suffix = F.when(U.suffix_labels(h) == 0, "com").otherwise(F.regexp_extract(h, "([^.]+)$", 1))
+    table = F.create_map(*[F.lit(x) for kv in L.SUFFIX_WEIGHT.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, suffix), F.lit(0.0)) + F.when((F.length(suffix) == 2) & ~suffix.isin("co", "uk", "us"), 0.04).otherwise(0.0)
+
+
+def site_type(domain: Column, h: Column) -> Column:
+    """By parts of the domain's name; else .45, with a hyphen in the registered name and a telling subdomain of the URL's host."""
+    sub = U.subdomain(h)
+    own = F.lit(0.45) + F.when(U.core_label(h).contains("-"), 0.08).otherwise(0.0) + F.when((sub != "") & ~sub.isin(*L.TRIVIAL_SUBDOMAINS), 0.06).otherwise(0.0)
+    return F.when(U.any_of(domain, L.COMMUNITY), 0.80).when(U.any_of(domain, L.PERSONAL), 0.70).otherwise(own)
+
+
+def obscurity(domain: Column, url: Column, rarity: Column, cross: Column) -> Column:
+    d, h = F.lower(F.trim(T.safe(domain))), U.host(url)
+    score = 0.40 * site_type(d, h) + 0.10 * suffix_weight(h) + 0.15 * url_depth(url) + 0.35 * rarity - cross
+    under = d.rlike("\\.(" + "|".join(m.replace(".", "\\.") for m in L.MAINSTREAM) + ")$")
+    return F.when(d.isin(*L.MAINSTREAM), 0.04).when(under, 0.08).otherwise(T.clamp(score))
+
+
+def hits(c: Column, patterns) -> Column:
+    """How many of the patterns occur."""
+    return total([c.rlike(p).cast("int") for p in patterns])
+
+
+def content_type(url: Column, c: Column, domain: Column | None = None, author: Column | None = None, commercial: Column | None = None) -> Column:
+    """Known domains first; else points, of which the most win; ties go to the kind named first (Blog before Commercial
+    where there is no text)."""
+    u, text = F.lower(T.safe(url)), T.safe(c)
+    body = F.lower(F.substring(text, 1, 2000))
+    d = F.lower(T.safe(U.host(url) if domain is None else domain))
+    named = lambda parts, points: F.when(U.any_of(d, parts), points).otherwise(0)
+    signed = F.lit(0) if author is None else (T.safe(author) != "").cast("int")
+    sold = F.lit(0) if commercial is None else F.when(F.coalesce(commercial, F.lit(0.0)) > 0.5, 3).otherwise(0)
+    has = (text != "").cast("int")
+    points = (
+        ("Forum", hits(u, L.FORUM_URLS) + named(L.FORUM_NAMES, 3), F.lit(0)),
+        ("Academic", hits(u, L.ACADEMIC_URLS) + 2 * hits(body, L.ACADEMIC_TEXT), F.lit(1)),
+        ("Docs", hits(u, L.DOCS_URLS), F.lit(2)),
+        ("News", hits(u, L.NEWS_URLS) + named(L.NEWS_NAMES, 2), F.lit(3)),
+        ("Commercial", 2 * hits(body, L.COMMERCIAL_TEXT) + named(L.SHOP_NAMES, 3) + sold, F.lit(6) - 2 * has),
+        ("Blog", hits(body, L.BLOG_TEXT) + named(L.BLOG_NAMES, 2) + signed, F.lit(5)),
+    )
+    best = F.array_max(F.array(*[F.struct(p.cast("int").alias("p"), (-i).alias("i"), F.lit(k).alias("k")) for k, p, i in points]))
+    return (
+        F.when(d.contains("wikipedia") | d.contains("wikimedia"), "Wiki")
+        .when(d.isin(*L.FORUM_DOMAINS), "Forum")
+        .when(d.isin(*L.ACADEMIC_DOMAINS) | d.contains(".edu") | d.contains(".ac."), "Academic")
+        .when(d.isin(*L.NEWS_DOMAINS), "News")
+        .when(d.isin(*L.DOCS_DOMAINS) | d.contains("readthedocs"), "Docs")
+        .otherwise(T.let(best, lambda b: F.when(b["p"] > 0, b["k"]).otherwise("Unknown")))
+    )
+
+
+#: Signals of a page by name: builders that take the page's columns; more can be registered here.
+REGISTRY = {
+    "info_density": lambda: info_density(F.col("content")),
+    "commercial": lambda: commercial_bias(F.col("content"), F.col("domain"), F.col("snippet"), F.col("title"), F.col("url")),
+    "ai_spam": lambda: ai_spam(F.col("title"), F.col("content")),
+}

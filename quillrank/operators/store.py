@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Rows that one trim takes away, characters of a page that are indexed, seconds between two maintenance runs. Fixed values.
+TRIM, INDEXED, INTERVAL = 500, 8000, 3600
+
 
 def gate(df: DataFrame, words: int = 80, final: float = 0.60, spam: float = 0.65, commercial: float = 0.75) -> DataFrame:
     return df.filter((F.coalesce("url", F.lit("")) != "") & (F.col("word_count") >= words) & (F.col("final") >= final) & ~(F.col("ai_spam") > spam) & ~(F.col("commercial") > commercial))
@@ -68,3 +72,92 @@ def query_memory(log: DataFrame) -> DataFrame:
 def trust_band(trust: Column) -> Column:
     t = F.coalesce(trust, F.lit(0.5))
     return F.when(t >= 0.75, "high").when(t >= 0.55, "medium").otherwise("low")
+
+
+def indexed_text(title: Column, content: Column) -> Column:
+    """What the full-text index holds of a page."""
+    return F.substring(F.concat(T.safe(title), F.lit(" "), T.safe(content)), 1, INDEXED)
+
+
+def as_results(pages: DataFrame) -> DataFrame:
+    """Stored pages as results: their source is the cache."""
+    return pages.select("url", "domain", "title", "snippet", "content", "word_count", "publish_date", "author", F.lit("cache").alias("source"), "cluster", F.lit(True).alias("from_cache"), "cached_at")
+
+
+def stored(results: DataFrame, query: str, as_of: Column) -> DataFrame:
+    """Results that pass the gate, as rows of the store; contents and not only snippets are kept."""
+    r = gate(results)
+    return r.select("url", "domain", F.substring("title", 1, 512).alias("title"), F.substring("snippet", 1, 512).alias("snippet"), truncated(F.coalesce(F.nullif("content", F.lit("")), F.col("snippet"))).alias("content"), "word_count", F.col("final").alias("score"), "publish_date", "author", F.coalesce("source", F.lit("cache")).alias("source"), "cluster", as_of.alias("cached_at"), F.when(F.lit(query) != "", F.array(F.lit(query))).otherwise(F.array().cast("array<string>")).alias("query_tags"))
+
+
+#: Columns that storing a known page writes anew.
+UPDATED = ["title", "snippet", "content", "word_count", "score", "cluster", "cached_at"]
+
+
+def store_pages(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store after a batch: known pages get new contents and one tag more, up to 20; others are added. The last row of a
+    URL counts."""
+    last = new.withColumn("_r", F.row_number().over(W.partitionBy("url").orderBy(F.desc("score"), "title"))).filter("_r = 1").drop("_r")
+    tags = last.select(F.col("url").alias("_u"), F.col("query_tags").alias("_tags"))
+    merged = upsert(store, last, "url", UPDATED).join(tags, F.col("url") == F.col("_u"), "left")
+    return merged.withColumn("query_tags", F.slice(F.array_union(F.coalesce("query_tags", "_tags"), F.coalesce("_tags", F.array().cast("array<string>"))), 1, 20)).drop("_u", "_tags")
+
+
+def domain_pages(pages: DataFrame, domain: str, limit: int) -> DataFrame:
+    return pages.filter(F.col("domain") == domain).orderBy(F.desc("score"), F.desc("cached_at"), "url").limit(limit)
+
+
+def explorable(domains: DataFrame, as_of: Column, least: float = 0.60, days: int = 3, limit: int = 6) -> DataFrame:
+    """The best domains (domain, avg_score, last_explored) that were never explored or not for some days."""
+    old = F.col("last_explored").isNull() | (F.col("last_explored") < as_of - F.make_dt_interval(F.lit(days)))
+    return domains.filter((F.col("avg_score") >= least) & old).orderBy(F.desc("avg_score"), "domain").limit(limit)
+
+
+def mark_explored(domains: DataFrame, visits: DataFrame) -> DataFrame:
+    """Domains after visits (domain, pages_added, at); pages found so are counted apart from those whose scores make the mean."""
+    v = visits.groupBy("domain").agg(F.sum("pages_added").alias("_pages"), F.max("at").alias("_at"), F.count("*").alias("_n"))
+    zero = F.lit(0).cast("long")
+    return domains.join(v, "domain", "full_outer").select("domain", F.coalesce("page_count", zero).alias("page_count"), "avg_score", "last_seen", F.greatest("last_explored", "_at").alias("last_explored"), (F.coalesce("explored_pages", zero) + F.coalesce("_pages", zero)).alias("explored_pages"), (F.coalesce("exploration_count", zero) + F.coalesce("_n", zero)).alias("exploration_count"))
+
+
+def stats(pages: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row: pages, domains, oldest page, mean score, pages of high value."""
+    p = pages.agg(F.count("*").alias("total_pages"), F.min("cached_at").alias("oldest_cached"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 3).alias("avg_score"), F.count_if(F.col("score") >= 0.85).alias("high_value_pages"))
+    return p.crossJoin(domains.agg(F.count("*").alias("total_domains")))  # one row by one row
+
+
+def maintained(pages: DataFrame, as_of: Column, most_rows: int, drop: int = TRIM, key: str = "url") -> tuple[DataFrame, dict[str, int]]:
+    """Expiry, then a trim if more than `most_rows` rows are left; the pages that stay and how many went by either."""
+    total = pages.count()
+    kept = alive(pages, as_of)
+    left = kept.count()
+    if left <= most_rows:
+        return kept, {"expired": total - left, "trimmed": 0}
+    return trimmed(kept, key, drop), {"expired": total - left, "trimmed": min(drop, left)}
+
+
+def due(last_run: float, now: float, interval: float = INTERVAL) -> bool:
+    """Whether maintenance may run again."""
+    return now - last_run > interval
+
+
+def vote_key(c: Column) -> Column:
+    return F.left(F.sha2(F.lower(F.trim(c)), 256), F.lit(32))
+
+
+def valid_votes(votes: DataFrame, value: str = "feedback") -> DataFrame:
+    """Votes (url, query, feedback, ts) of +1 or -1 by their hashes; a vote of 0 takes back an earlier one and is kept as such."""
+    return votes.filter(F.col(value).isin(1, -1, 0)).select(vote_key(F.col("url")).alias("url_hash"), vote_key(F.col("query")).alias("query_hash"), F.col(value).cast("int").alias("feedback"), "ts")
+
+
+def votes_of(votes: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, votes): the sum of the last votes of every query, for the given URLs only."""
+    known = urls.select("url").distinct().withColumn("url_hash", vote_key(F.col("url")))
+    last = latest(valid_votes(votes).join(known.select("url_hash"), "url_hash", "left_semi"), ["url_hash", "query_hash"], "ts", "feedback")
+    return last.groupBy("url_hash").agg(F.sum("feedback").alias("votes")).join(known, "url_hash").select("url", "votes")
+
+
+def votes_by_query(votes: DataFrame) -> DataFrame:
+    """(url_hash, by_query): a map of the last vote of each query."""
+    last = latest(valid_votes(votes), ["url_hash", "query_hash"], "ts", "feedback").filter("feedback <> 0")
+    return last.groupBy("url_hash").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("query_hash", "feedback")))).alias("by_query"))
