@@ -23,7 +23,7 @@ from .operators import store as K
 from .plans import ranking as P
 from .runtime import ship
 from .schema import SearchPrefs
-from .sources.tables import archive_fallback, page_records, read, union_sources
+from .sources.tables import archive_fallback, page_records, read, spread, union_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,7 +89,7 @@ def page_title_extract(spark, d):
 @query(f"SELECT page_id, c AS content, len({WORDS.format('c')}) AS word_count FROM (SELECT page_id, {PLAIN} AS c FROM pages)")
 def html_text_extract(spark, d):
     c = H.plain_text(C("html"))
-    return read(spark, d, "pages").select("page_id", c.alias("content"), T.word_count(c).alias("word_count"))
+    return spread(read(spark, d, "pages")).select("page_id", c.alias("content"), T.word_count(c).alias("word_count"))
 
 
 @query(f"SELECT page_id, h AS host, CASE WHEN len(p) <= 2 THEN h WHEN array_to_string(p[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','co.jp','co.nz','com.br') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS registered, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS depth FROM (SELECT *, {HOST} AS h, string_split({HOST}, '.') AS p FROM pages)")
@@ -143,9 +143,14 @@ def documents(spark, d):
     return read(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
+def texts(spark, d):
+    """Documents for work on whole texts."""
+    return spread(documents(spark, d))
+
+
 @query(f"SELECT doc_id, len({TEXT}) AS n_words, len({SENTENCES.format('text')}) AS n_sentences FROM documents")
 def word_stats(spark, d):
-    return documents(spark, d).select("doc_id", T.word_count(C("text")).alias("n_words"), F.size(T.sentences(C("text"))).alias("n_sentences"))
+    return texts(spark, d).select("doc_id", T.word_count(C("text")).alias("n_words"), F.size(T.sentences(C("text"))).alias("n_sentences"))
 
 
 LEX = f"list_filter({LOWER.format('text')}, lambda x: length(x) > 3 AND NOT list_contains({quoted(L.STOPWORDS)}, x))"
@@ -154,7 +159,7 @@ LEXICAL = f"CASE WHEN len({LEX}) = 0 THEN 0.0 ELSE least(0.95, len(list_distinct
 
 @query(f"SELECT doc_id, round({LEXICAL}, 6) AS diversity FROM documents")
 def lexical_diversity(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.lexical_diversity(C("text")), "diversity"))
+    return texts(spark, d).select("doc_id", r6(G.lexical_diversity(C("text")), "diversity"))
 
 
 TECH = f"CASE WHEN len({TEXT}) = 0 THEN 0.0 ELSE least(1.0, coalesce(list_sum(list_transform({TEXT}, lambda x: CASE WHEN length(x) >= 2 AND regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}') THEN 2 WHEN length(x) > 2 AND regexp_matches(x, '[0-9]') THEN 1 WHEN length(x) > 6 AND contains(x, '-') THEN 1 WHEN length(x) >= 10 THEN 1 ELSE 0 END)), 0) / len({TEXT}) / 0.10) END"
@@ -162,13 +167,13 @@ TECH = f"CASE WHEN len({TEXT}) = 0 THEN 0.0 ELSE least(1.0, coalesce(list_sum(li
 
 @query(f"SELECT doc_id, round({TECH}, 6) AS technical FROM documents")
 def technical_vocab(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.technical_vocabulary(C("text")), "technical"))
+    return texts(spark, d).select("doc_id", r6(G.technical_vocabulary(C("text")), "technical"))
 
 
 def with_phrases(spark, d, *phrases):
     """Documents whose text is led by one of some phrases, as invented prose has none of them."""
     pick = F.element_at(F.array(*[F.lit(p) for p in phrases]), (C("doc_id") % len(phrases) + 1).cast("int"))
-    return documents(spark, d).select("doc_id", F.concat(pick, F.lit(" "), "text").alias("text"))
+    return texts(spark, d).select("doc_id", F.concat(pick, F.lit(" "), "text").alias("text"))
 
 
 def sql_phrases(*phrases) -> str:
@@ -178,9 +183,9 @@ def sql_phrases(*phrases) -> str:
 FILL = ("", "really quite simply", "just basically very", "perhaps")
 
 
-@query(f"SELECT doc_id, round(least(0.35, len(list_filter({LOWER.format('text')}, lambda x: list_contains({quoted(L.FILLER)}, x)))::DOUBLE / greatest(len({TEXT}), 1) / 0.10 * 0.35), 6) AS penalty FROM {sql_phrases(*FILL)}")
+@query(f"SELECT doc_id, round(least(0.35, len(list_filter({LOWER.format('text')}, lambda x: list_contains({quoted(L.FILLER)}, x)))::DOUBLE / greatest(len({TEXT}), 1) / 0.10 * 0.35), 7) AS penalty FROM {sql_phrases(*FILL)}")
 def filler_penalty(spark, d):
-    return with_phrases(spark, d, *FILL).select("doc_id", r6(G.filler_penalty(C("text")), "penalty"))
+    return with_phrases(spark, d, *FILL).select("doc_id", F.round(G.filler_penalty(C("text")), 7).alias("penalty"))
 
 
 ALPHA = f"list_filter({LOWER.format('text')}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))"
@@ -189,7 +194,7 @@ TRIGRAM = "CASE WHEN n < 40 OR len(w) < 30 THEN 0.0 ELSE least(0.30, (1 - len(li
 
 @query(f"SELECT doc_id, round({TRIGRAM}, 6) AS penalty FROM (SELECT *, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' ')) AS g FROM (SELECT doc_id, len({TEXT}) AS n, {ALPHA} AS w FROM documents))")
 def trigram_repetition(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.trigram_repetition(C("text")), "penalty"))
+    return texts(spark, d).select("doc_id", r6(G.trigram_repetition(C("text")), "penalty"))
 
 
 VARIANCE = f"CASE WHEN len(l) < 4 THEN 0.5 WHEN {CV} < 0.15 THEN {CV} / 0.15 * 0.3 WHEN {CV} <= 0.8 THEN 0.3 + ({CV} - 0.15) / 0.65 * 0.7 ELSE greatest(0.0, 1 - ({CV} - 0.8) * 0.5) END"
@@ -197,7 +202,7 @@ VARIANCE = f"CASE WHEN len(l) < 4 THEN 0.5 WHEN {CV} < 0.15 THEN {CV} / 0.15 * 0
 
 @query(f"SELECT doc_id, round({VARIANCE}, 6) AS variance FROM (SELECT doc_id, {LENGTHS.format('text')} AS l FROM documents)")
 def sentence_variance(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.sentence_variance(C("text")), "variance"))
+    return texts(spark, d).select("doc_id", r6(G.sentence_variance(C("text")), "variance"))
 
 
 STRIPPED = "text"
@@ -211,7 +216,7 @@ FROM (SELECT *, list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: arra
 
 @query(f"SELECT doc_id, round(density, 6) AS density FROM ({DENSITY})")
 def info_density(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.info_density(C("text")), "density"))
+    return texts(spark, d).select("doc_id", r6(G.info_density(C("text")), "density"))
 
 
 TITLES = ("Top 10 Ways to WIN BIG NOW | Best | Of", "How to fix it (2024) [really now]", "A plain title", "short", "best tools — a list", "12 tips for a title that is much longer than seventy characters in all, and then some more words")
@@ -287,7 +292,7 @@ UNIFORM = f"CASE WHEN len(l) < 6 OR {CV} >= 0.5 THEN 0.0 ELSE (0.5 - {CV}) / 0.5
 
 @query(f"SELECT doc_id, round({UNIFORM}, 6) AS uniformity FROM (SELECT doc_id, {LENGTHS.format('text')} AS l FROM documents)")
 def sentence_uniformity(spark, d):
-    return documents(spark, d).select("doc_id", r6(G.sentence_uniformity(C("text")), "uniformity"))
+    return texts(spark, d).select("doc_id", r6(G.sentence_uniformity(C("text")), "uniformity"))
 
 
 SPAM = f"CASE WHEN len({TEXT}) < 60 THEN 0.5 * STUFFING ELSE greatest(0.0, least(1.0, 0.15 * {UNIFORM} + 0.2 * {ALIKE} + 0.25 * {PHRASE_SHARE} + 0.1 * {HEADED} + 0.15 * {FLOOD} + 0.15 * STUFFING)) END"
@@ -346,7 +351,7 @@ KIND_POINTS = f"[{sql_hits('u', L.FORUM_URLS)} + {sql_named(L.FORUM_NAMES, 3)},
 
 @query(f"SELECT page_id, {KIND} AS kind FROM (SELECT *, {KIND_POINTS} AS p FROM (SELECT page_id, lower(url) AS u, {HOST} AS d, {PLAIN} AS t, lower(left({PLAIN}, 2000)) AS b FROM pages))")
 def content_type(spark, d):
-    return read(spark, d, "pages").select("page_id", G.content_type(C("url"), H.plain_text(C("html"))).alias("kind"))
+    return spread(read(spark, d, "pages")).select("page_id", G.content_type(C("url"), H.plain_text(C("html"))).alias("kind"))
 
 
 # signals relative to a set
@@ -396,7 +401,7 @@ FP = f"CASE WHEN len({TEXT}) >= 60 THEN left(md5(array_to_string(({LOWER.format(
 
 @query(f"SELECT doc_id, CASE WHEN fp IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY fp) THEN 0.1 ELSE 0.0 END::DOUBLE AS penalty FROM (SELECT doc_id, {FP} AS fp FROM documents)")
 def near_duplicate_penalty(spark, d):
-    rows = documents(spark, d).select("doc_id", D.fingerprint(C("text")).alias("fp"))
+    rows = texts(spark, d).select("doc_id", D.fingerprint(C("text")).alias("fp"))
     first = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "fp", "left").select("doc_id", F.when(C("doc_id") > C("first"), 0.1).otherwise(0.0).alias("penalty"))
 
@@ -505,11 +510,12 @@ SELECT doc_id, domain, final FROM r ORDER BY final DESC, doc_id LIMIT 20""")
 def rank_linear(spark, d):
     """The 20 best documents by all signals that the table allows and the near-duplicate penalty; it has no title, URL, date or search engine."""
     none, text = F.lit(""), C("text")
-    rows = documents(spark, d).select(C("doc_id").alias("pos"), C("source").alias("domain"), "source", "text")
-    rows = G.with_domain_counts(rows).withColumns({
-        "info_density": G.info_density(text), "commercial": G.commercial_bias(text, C("domain")), "ai_spam": G.ai_spam(none, text),
-        "obscurity": G.obscurity(C("domain"), none, C("rarity"), C("cross_penalty")), "freshness": F.lit(0.5), "fp": D.fingerprint(text),
-    }).drop("text")
+    # texts end here: what is shuffled by domain and fingerprint is narrow
+    rows = texts(spark, d).select(
+        C("doc_id").alias("pos"), C("source").alias("domain"), "source", G.info_density(text).alias("info_density"), G.commercial_bias(text, C("source")).alias("commercial"),
+        G.ai_spam(none, text).alias("ai_spam"), D.fingerprint(text).alias("fp"), F.lit(0.5).alias("freshness"),
+    )
+    rows = G.with_domain_counts(rows).withColumn("obscurity", G.obscurity(C("domain"), none, C("rarity"), C("cross_penalty")))
     first = rows.select("pos", "fp").filter("fp is not null").groupBy("fp").agg(F.min("pos").alias("first"))
     again = F.when(C("pos") > C("first"), 0.1).otherwise(0.0)
     score = R.linear_score(R.weights(), again)
@@ -580,7 +586,7 @@ POSTS = f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKE
 
 @query(f"SELECT doc_id, term, tf FROM {POSTS}")
 def bm25_build(spark, d):
-    return S.postings(documents(spark, d), "doc_id", "text")[0].select("doc_id", "term", "tf")
+    return S.postings(texts(spark, d), "doc_id", "text")[0].select("doc_id", "term", "tf")
 
 
 TERMS = ("ing", "tion", "thst")
@@ -589,7 +595,7 @@ TERMS = ("ing", "tion", "thst")
 @query(f"""WITH p AS (SELECT * FROM {POSTS} WHERE term IN ('ing', 'tion', 'thst')), l AS (SELECT doc_id, len({TOKENS}) AS length FROM documents), n AS (SELECT count(*) AS docs, avg(length) AS mean FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
 SELECT doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25 FROM p JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY 1 HAVING count(*) = 3""")
 def bm25_search(spark, d):
-    return S.bm25_scan(documents(spark, d), {"text": 1.0}, list(TERMS), S.token_count).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25_scan(texts(spark, d), {"text": 1.0}, list(TERMS), S.token_count).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"SELECT page_id, CASE WHEN contains(t, 'that the') THEN 4.0 WHEN contains(lower(b), 'that the') THEN 2.5 WHEN contains(t, 'that') AND contains(t, 'the') THEN 1.5 ELSE 0.4 * (contains(t, 'that')::INT + contains(t, 'the')::INT) END::DOUBLE + CASE WHEN contains(lower(left(b, 300)), 'that the') THEN 0.5 ELSE 0.0 END AS boost FROM (SELECT page_id, lower({PAGE_TITLE}) AS t, {PLAIN} AS b FROM pages)")
@@ -600,13 +606,13 @@ def phrase_boost(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'thst') AND contains(lower(text), 'that')")
 def like_search(spark, d):
-    return S.like_search(documents(spark, d), ["text"], "thst that the").select("doc_id")
+    return S.like_search(texts(spark, d), ["text"], "thst that the").select("doc_id")
 
 
 @query(f"""WITH p AS (SELECT * FROM {POSTS}), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS docs FROM documents), r AS (SELECT doc_id, term, tf * (ln((1.0 + docs) / (1.0 + df)) + 1) AS raw FROM p JOIN f USING (term), n)
 SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
 def tfidf(spark, d):
-    docs = documents(spark, d)
+    docs = texts(spark, d)
     return S.tfidf(S.postings(docs, "doc_id", "text")[0], "doc_id", docs.count()).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -620,7 +626,7 @@ def dense_topk(spark, d):
 @query(None)
 def semantic_clusters(spark, d):
     ship(spark)
-    docs = documents(spark, d)
+    docs = texts(spark, d)
     posts, _ = S.postings(docs, "doc_id", "text")
     v = S.tfidf(posts, "doc_id", docs.count()).withColumn("set_id", F.floor(C("doc_id") / 40)).withColumnRenamed("doc_id", "pos")
     return S.clusters(v)

@@ -18,6 +18,7 @@ from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import signals as G
 from ..schema import SearchPrefs
+from ..scratch import Scratch
 
 C = F.col
 #: Rows of a request that links and clusters look at; requests with more rows than GATE are clustered and blended. Fixed values.
@@ -59,13 +60,16 @@ def scored(results: DataFrame, trust: DataFrame, weights: dict[str, float], quer
 def reordered(rows: DataFrame, trust: DataFrame, votes: DataFrame, by: str = "query_id") -> DataFrame:
     """Scored rows (by, pos, url, domain, title, snippet, final, is_exploration, outbound_links) in their final order `rank`:
     link boost of the head, round robin over its clusters, domain cap and exploration, votes."""
+    scratch = Scratch(rows.sparkSession, "rank")  # rows are read for links, for clusters and at the end
     n = F.count("*").over(W.partitionBy(by))
+    rows = scratch.keep(rows, "scored")
     rows = R.ranked(rows.withColumn("_n", n).withColumn("is_exploration", F.coalesce("is_exploration", F.lit(False))), (by,), name="_first")
     boost = S.inbound_of_head(rows.filter(C("_first") <= HEAD).select(by, "domain", "outbound_links"), trust, by).select(by, "domain", C("boost").alias("_boost"))
     rows = rows.join(boost, [by, "domain"], "left")
     rows = rows.withColumn("trust_boost", F.when(C("_first") <= HEAD, F.coalesce("_boost", F.lit(0.0)))).withColumn("final", F.when(C("trust_boost") > 0, F.round(F.least(F.lit(1.0), C("final") + C("trust_boost")), 3)).otherwise(C("final")))
     head = C("_first") <= HEAD
     rows = rows.withColumn("_second", F.row_number().over(W.partitionBy(by).orderBy(~head, F.when(head, -C("final")), "_first")))
+    rows = scratch.keep(rows, "boosted")
     of_head = rows.filter((C("_second") <= HEAD) & (C("_n") > GATE)).select(by, "pos", C("_second").alias("rank"), "url", "title", "snippet", "final")
     rows = rows.join(S.cluster_results(of_head, by), [by, "pos"], "left")
     rows = R.round_robin_order(rows, by, "cluster_id", "_second")

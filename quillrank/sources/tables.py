@@ -10,13 +10,24 @@ from ..functions import text as T
 from ..functions import urls as U
 
 
+#: Tables below this size for each core are dealt to all cores, as one small file is one task.
+SMALL = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt to all cores; a large one has tasks enough and stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, url, domain, title, content, word_count of landed pages."""
-    p = read(spark, sf_dir, "pages").withColumn("content", H.plain_text(F.col("html")))
+    p = spread(read(spark, sf_dir, "pages")).withColumn("content", H.plain_text(F.col("html")))
     return p.select(F.col("page_id").alias("pos"), "url", U.host(F.col("url")).alias("domain"), H.title(F.col("html"), F.col("url")).alias("title"), "content", T.word_count(F.col("content")).alias("word_count"))
 
 

@@ -15,8 +15,8 @@ WEIGHTS = {
     ("informational", ()): (0.26, 0.22, 0.2, 0.09, 0.09, 0.14),
     ("deep_research", ()): (0.2590, 0.2506, 0.2, 0.0752, 0.0752, 0.14),
     ("navigational", ()): (0.2724, 0.1467, 0.2, 0.0943, 0.1467, 0.14),
-    ("informational", (("deseo", True),)): (0.1954, 0.1653, 0.28, 0.0676, 0.0676, 0.2240),
-    ("informational", (("forums", True),)): (0.2258, 0.2779, 0.2, 0.0782, 0.0782, 0.14),
+    ("informational", (("less_seo", True),)): (0.1954, 0.1653, 0.28, 0.0676, 0.0676, 0.2240),
+    ("informational", (("prefer_forums", True),)): (0.2258, 0.2779, 0.2, 0.0782, 0.0782, 0.14),
     ("informational", (("underground", 1.0),)): (0.1505, 0.3427, 0.2, 0.0834, 0.0834, 0.14),
     ("informational", (("fresh", 1.0),)): (0.2335, 0.1976, 0.2, 0.1482, 0.0808, 0.14),
 }
@@ -31,7 +31,7 @@ def test_weights(case):
 def test_urls(spark):
     rows = spark.createDataFrame([("https://www.Shop.co.uk:80/a/?q=1#x",), ("http://h.org",), (None,), ("javascript:void(0)",)], "url string")
     got = rows.select(U.host(F.col("url")).alias("h"), U.registered_domain(U.host(F.col("url"))).alias("r"), U.dedup_key(F.col("url")).alias("k"), U.skipped(F.col("url")).alias("s")).collect()
-    assert [tuple(x) for x in got[:2]] == [("shop.co.uk", "shop.co.uk", "shop.co.uk:80/a/?q=1", False), ("h.org", "h.org", "h.org", False)]
+    assert [tuple(x) for x in got[:2]] == [("shop.co.uk", "shop.co.uk", "shop.co.uk:80/a?q=1", False), ("h.org", "h.org", "h.org", False)]
     assert got[2]["s"] and got[3]["s"]
 
 
@@ -94,32 +94,32 @@ def test_registered_exact_dedup_is_over_the_whole_table(spark, tmp_path):
     for i in range(240):
         t = list(rng.choice(titles))
         t[rng.randrange(10)] = f"w{rng.randrange(400)}"
-        rows.append((i, " ".join(t + [f"tail{i}"]) if i % 50 else "", "s", "en"))
-    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+        rows.append((i, f"https://h{i % 90}.org/{'' if i % 4 else 'x'}#{i}", f"<title>{' '.join(t)}</title>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(r["pos"] for r in catalogue.QUERIES["dedup_exact"](spark, str(tmp_path)).collect())
-    assert got == greedy([(i, str(i), t.split()[:10]) for i, t, _, _ in rows]) and len(got) < 200
+    assert got == greedy([(i, u.split("#")[0].rstrip("/"), h[7:-8].split()) for i, u, h in rows]) and len(got) < 200
 
 
-def test_rank_signals_against_its_sql(spark, tmp_path):
+def test_rank_linear_against_its_sql(spark, tmp_path):
     rng = random.Random(13)
     lines = lambda n: ". ".join(" ".join("abcdefghijklmnopqrst"[rng.randrange(20)] * 6 for _ in range(rng.randrange(5, 14))) for _ in range(n))
     body = lines(30)
-    texts = [body, body, body + " In conclusion, it is important to note that moreover. Look no further.", "Best 10 picks, click here, affiliate link, we may earn commission. $20 discount coupon. " + body, "\n\n".join([lines(3)] * 4) + "\n# Heading one\n## Two\n", "same words here again now. " * 20, lines(3), ""]
+    texts = [body, body, body + " In conclusion, it is important to note that moreover. First and foremost.", "Best 10 picks, add to cart, affiliate, we may earn a commission. $20 with a coupon code, free trial. " + body, "\n\n".join([lines(3)] * 4) + "\n# Heading one\n## Two\n", "same words here again now. " * 20, lines(3), ""]
     texts += [lines(12) for _ in range(8)]
     domains = ["a.example.org", "a.example.org", "my-forum.io", "deals.shop.com", "wikipedia.org", "en.wikipedia.org", "blog.net", "x.de"]
     rows = [(i, t, domains[i % 8] if i < 8 else f"s{i}.org", "en") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in catalogue.QUERIES["rank_signals"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["rank_linear"](spark, str(tmp_path)).collect()]
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    assert got == [(i, s, pytest.approx(f, abs=2e-6)) for i, s, f in db.execute(catalogue.ORACLES["rank_signals"]).fetchall()]
+    assert got == [(i, s, pytest.approx(f, abs=2e-6)) for i, s, f in db.execute(catalogue.ORACLES["rank_linear"]).fetchall()]
     final = {i: f for i, _, f in got}
     assert final[0] - final[1] == pytest.approx(0.1, abs=1e-6)  # a copy loses the near-duplicate penalty
-    assert final[3] < final[0] - 0.05  # affiliate and price words count
+    assert final[3] < final[0] - 0.03  # affiliate and price words count
 
 
 def test_content_type_reads_the_page(spark, tmp_path):
-    bodies = {1: "<p>Abstract. Smith et al</p>", 2: "<p>Buy now</p>", 3: "<p>I think so</p>", 4: "<script>buy now</script><p>plain</p>", 5: None}
+    bodies = {1: "<p>Abstract. Smith et al</p>", 2: "<p>Buy now</p>", 3: "<p>Written by me</p>", 4: "<script>buy now</script><p>plain</p>", 5: None}
     spark.createDataFrame([(i, f"https://x.org/p{i}", h) for i, h in bodies.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["kind"] for r in catalogue.QUERIES["content_type"](spark, str(tmp_path)).collect()}
     assert got == {1: "Academic", 2: "Commercial", 3: "Blog", 4: "Unknown", 5: "Unknown"}
