@@ -1,16 +1,16 @@
-"""Shared helpers of the corpus operators: scratch tables, word splitting, 64-bit hashing."""
+"""Shared helpers of the corpus operators: word splitting, 64-bit hashing, ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from ..scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir", "ship"]
 
 #: Entries that a worker's word cache holds before it is emptied (about 60 MB).
 CACHE_WORDS = 300_000
@@ -19,42 +19,6 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quillrank-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-class Scratch:
-    """Tables of one run of an operator, written as Parquet below the shared folder; they survive lost executors and cut the lineage."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        ship(spark)
-        self.root = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -124,5 +88,6 @@ def two_level_rank(df: DataFrame, by: list[str], order: str, rows: int, out: str
     key = [*by, "_b"]
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = df.groupBy(*key).agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    starts = starts.repartition(*key)  # else the join deals the rows themselves by the group alone
     inner = df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(order, *then)) - 1)
     return inner.join(starts, key).withColumn(out, (F.col("_s") + F.col("_r")).cast("long")).drop("_b", "_s", "_r")

@@ -3,7 +3,8 @@
 Documents land as (digest, id, locator) rows and flow through a stateful streaming aggregation. Its RocksDB state is
 keyed by digest and never expires: it holds how often the digest came, the id that stays and where that text lies. A
 digest that came more than once is a hit; the whole bytes of all hits are then compared, and a digest with unequal
-bytes under it is resolved by the bytes themselves.
+bytes under it is resolved by the bytes themselves. Digests of more than a share of all rows, of which there are few,
+are sent to all tasks, so that no task gets all copies of one text.
 
 Defined results: a null text counts as empty; null ids take part but never stay unless all ids of the group are null
 (then keep_id is null and kept is true); repeated rows with one id count in group_size and share its `kept`; an empty
@@ -49,29 +50,44 @@ def stream_state(spark: SparkSession, landed: DataFrame, scratch: Scratch, files
     return found.groupBy("digest").agg(F.max("n").alias("n"), F.max("keep").alias("keep"))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, files_per_trigger: int = 4096) -> DataFrame:
+#: Digests of hits, of 100 bytes each, are sent to all tasks up to this many.
+SENT = 200_000
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, files_per_trigger: int = 4096, sent: int = SENT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, locator of every row of docs."""
     scratch = Scratch(spark, "exact")
     full = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
     landed = scratch.keep(full.select("digest", "doc_id", F.input_file_name().alias("locator")), "landed")
-    if landed.isEmpty():
-        state = spark.createDataFrame([], "digest binary, n long, keep struct<doc_id: long, locator: string>")
-    else:
+    rows = landed.count()
+    if rows:
         state = scratch.keep(stream_state(spark, landed, scratch, files_per_trigger), "final")
         scratch.drop("stream", "state")  # the stream has ended, its last state is kept
+    else:
+        state = spark.createDataFrame([], "digest binary, n long, keep struct<doc_id: long, locator: string>")
+    found = state.select("digest", "n", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator"))
+    hits = found.filter("n > 1")
+    few = hits.count() <= sent
 
     # Whole bytes of hits: copies collapse before the shuffle, as the text is a grouping key.
-    hits = state.filter("n > 1").select("digest")
-    bytes_of = scratch.keep(full.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).withColumn("bytes", F.length("text")), "hits")
+    repeated = full.join(F.broadcast(hits.select("digest")), "digest", "left_semi") if few else full
+    bytes_of = repeated.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    bytes_of = scratch.keep(bytes_of.select("digest", "keep_id", "n", F.xxhash64("text").alias("of_text")), "hits")
     mixed = bytes_of.groupBy("digest").agg(F.count("*").alias("variants")).filter("variants > 1").select("digest")
 
     ids = landed.select("digest", "doc_id", "locator")
-    plain = ids.join(state.select("digest", "n", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator")), "digest")
-    if mixed.isEmpty():
-        scratch.drop("hits")  # whole texts, which nothing reads any more
-    else:  # one digest over unequal bytes: those rows go by the bytes
-        odd = full.join(mixed, "digest", "left_semi").join(bytes_of, ["digest", "text"])
-        plain = plain.join(mixed, "digest", "left_anti").select("digest", "doc_id", "n", "keep_id", "keep_locator").unionByName(odd.select("digest", "doc_id", "n", "keep_id", F.lit(None).cast("string").alias("keep_locator")))
+    single = [F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("keep_id"), F.col("locator").alias("keep_locator")]
+    if few:  # a row without a hit is its own group
+        plain = ids.join(F.broadcast(hits), "digest", "left")
+        out = [F.coalesce("n", single[0]).alias("n"), F.when(F.col("n").isNull(), single[1]).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("n").isNull(), single[2]).otherwise(F.col("keep_locator")).alias("keep_locator")]
+        plain = plain.select("digest", "doc_id", *out)
+    else:  # fewer than `sent` digests can have more than rows / sent copies
+        most = rows // max(1, sent)
+        hot, rest = F.broadcast(hits.filter(F.col("n") > most)), found.filter((F.col("n") <= most) | (F.col("n") == 1))
+        plain = ids.join(hot, "digest").drop("locator").unionByName(ids.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest").drop("locator"))
+    if not mixed.isEmpty():  # one digest over unequal bytes: those rows go by the bytes
+        odd = full.join(mixed, "digest", "left_semi").select("digest", "doc_id", F.xxhash64("text").alias("of_text")).join(bytes_of, ["digest", "of_text"])
+        plain = plain.join(mixed, "digest", "left_anti").unionByName(odd.select("digest", "doc_id", "n", "keep_id", F.lit(None).cast("string").alias("keep_locator")))
     return plain.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep_locator").alias("locator"),

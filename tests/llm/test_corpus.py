@@ -25,8 +25,11 @@ def rows():
     return [(i, t, 0.5) for i, t in enumerate(texts)]
 
 
-def test_exact_dedup(spark, rows):
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+@pytest.mark.parametrize("sent", [exact_dedup.SENT, 4, 1])
+def test_exact_dedup(spark, rows, sent):
+    rows = rows + [(100 + i, "copied", 0.5) for i in range(30)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(spark, spark.createDataFrame(rows, SCHEMA), sent=sent).collect()}
+    assert len(got) == len(rows)
     for i, t, _ in rows:
         same = [j for j, u, _ in rows if (u or "") == (t or "")]
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(same), len(same), i == max(same))
@@ -41,7 +44,7 @@ def test_near_duplicates(spark, rows):
     assert all(got[i]["component_id"] == i for i in (0, 1, 2, 3, 5, 8, 9, 10))
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [100_000, 0])
 def test_substring_dedup(spark, rows, hot):
     got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, SCHEMA), hot)[0].collect()}
     seen = set()
