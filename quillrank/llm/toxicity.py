@@ -5,12 +5,13 @@ pi (the share of toxic rows among the labelled training rows, counted over all o
 pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): the part of U's loss that toxic documents in U cause is taken off, and the
 rest is held at zero or above. Where it falls below, the step goes the other way. The classifier is linear over the
 presence of hashed words and word beginnings, kept where they are more frequent in P than in U, and is trained with
-numpy on the driver from at most MOST_P and MOST_U documents, drawn by a hash of their ids. Every whole text is scored
-on the executors.
+numpy on the driver from at most MOST_P and MOST_U documents, drawn by a hash of their ids, each with at most
+MOST_FEATURES features, drawn by their hash. Every whole text is scored on the executors.
 
-Labels are read only of rows whose crc32(doc_id) mod 4 is not 2. Defined results: null and blank texts get the score
-of a text without features; without any toxic training label the score is the prior (0 if there are no labels);
-repeated rows give repeated rows; null ids are scored too; an empty table gives an empty result.
+Labels are read only of rows whose crc32(doc_id) mod 4 is not 2; an id with several labels is toxic if one of them says
+so, and of several texts of an id the smallest trains. Defined results: null and blank texts get the score of a text
+without features; without any toxic training label every score is about e^-40; repeated rows give repeated rows; null
+ids are scored too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import CACHE_WORDS, long_id, ship, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BEGINNINGS = 20, (4, 5)
 #: Bounds of the training sample (documents), so that it fits the driver at any size of the corpus.
-MOST_P, MOST_U = 3000, 6000
+MOST_P, MOST_U, MOST_FEATURES = 3000, 6000, 8192
 THRESHOLD, HELD_OUT = 0.3, 2
 
 
@@ -118,13 +120,13 @@ def fold():
 def hashed_features(batches):
     cache = FeatureCache()
     for b in batches:
-        out = [np.unique(np.fromiter((f for w in words_of(t) for f in cache[w]), np.int32)) for t in b.column("text").to_pylist()]
+        out = [np.unique(np.fromiter((f for w in words_of(t) for f in cache[w]), np.int32))[:MOST_FEATURES] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "features"])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_p: int = MOST_P, most_u: int = MOST_U) -> Model:
     ship(spark)
-    known = labels.select(long_id(), F.col("toxic").cast("int").alias("toxic")).filter((fold() != HELD_OUT) & F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
+    known = labels.select(long_id(), F.col("toxic").cast("int").alias("toxic")).filter((fold() != HELD_OUT) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select(long_id()).filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     known = known.join(ids, "doc_id", "left_semi")
     counts = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("p")).first()
@@ -135,7 +137,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_p: int =
     p = known.filter("toxic = 1").orderBy(drawn, "doc_id").limit(most_p).select("doc_id", F.lit(1).alias("toxic"))
     u = ids.filter(fold() != HELD_OUT).orderBy(drawn, "doc_id").limit(most_u).select("doc_id", F.lit(0).alias("toxic"))
     wanted = F.broadcast(p.unionByName(u))  # most_p + most_u ids at most
-    sample = docs.select(long_id(), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("toxic", "text")
+    sample = docs.select(long_id(), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     got = sample.mapInArrow(hashed_features, "toxic int, features array<int>").toArrow()
     flat = got.column("features").combine_chunks()
     flat = flat if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks)
@@ -147,9 +149,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_p: int =
     return Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, bias)
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
-    model = train(spark, docs, labels)
+def with_scores(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs, all columns and rows as they are, with the score of each text."""
     sent = spark.sparkContext.broadcast(model)  # at most as many weights as nnpu keeps
 
     def score(batches):
@@ -159,12 +160,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
             s = []
             for at in range(0, b.num_rows, 512):
                 s += m.scores(b.column("text").slice(at, 512).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
+
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
 
-    rows = docs.select(long_id(), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs."""
+    rows = with_scores(spark, docs.select(long_id(), "text"), train(spark, docs, labels))
     return rows.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whatever their ids, whose score is below the threshold."""
+    return with_scores(spark, docs, train(spark, docs, labels), "_toxicity").filter(F.col("_toxicity") < threshold).select(*docs.columns)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
