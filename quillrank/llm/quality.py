@@ -6,8 +6,8 @@ labeller votes given the hidden class, without any true label, and with it the p
 posteriors of a sample of at most MOST documents, drawn by a hash of their ids, are the soft labels that train a
 logistic scorer over hashed word shapes, which then scores every whole text.
 
-Defined results: null and blank texts score 0 and are not kept; repeated rows give repeated rows; null ids are scored
-too; an empty table gives an empty result; other columns are ignored. Labels are used for evaluation only.
+Defined results: null and blank texts score 0 and are not kept; repeated rows give repeated rows; of several
+texts of an id the smallest trains; null ids are scored too; an empty table gives an empty result; other columns are ignored. Labels are used for evaluation only.
 """
 
 from __future__ import annotations
@@ -158,8 +158,9 @@ def vote_rows(batches):
 
 def vectors(batches):
     for b in batches:
-        rows = [vector(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["pattern", "ids", "shares"])
+        some = b.column("text").to_pylist()
+        rows, pattern = [vector(t) for t in some], ["".join("-0+"[v + 1] for v in votes(t)) for t in some]
+        yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["pattern", "ids", "shares"])
 
 
 def quality(spark: SparkSession, docs: DataFrame, most: int = MOST, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,10 +177,11 @@ def quality(spark: SparkSession, docs: DataFrame, most: int = MOST, threshold: f
     post, _, _ = expectation_maximisation(patterns, np.array([count[p] for p in names], float))
     soft = dict(zip(names, post.tolist(), strict=True))
 
-    drawn = voted.filter("pattern is not null and doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(most)
-    got = rows.join(F.broadcast(drawn), "doc_id").select("pattern", "text").mapInArrow(vectors, "pattern string, ids array<long>, shares array<double>").collect()  # `most` rows of bounded width
+    drawn = voted.filter("pattern is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(most)
+    one = rows.filter(F.col("text").rlike("\\S")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # however often an id comes
+    got = one.select("text").mapInArrow(vectors, "pattern string, ids array<long>, shares array<double>").collect()  # `most` rows of bounded width
     got = sorted(got, key=lambda r: (r["pattern"], r["ids"], r["shares"]))
-    w, b = logistic([(np.array(r["ids"], np.int64), np.array(r["shares"])) for r in got], np.array([soft[r["pattern"]] for r in got])) if got else (np.zeros(1 << BITS), 0.0)
+    w, b = logistic([(np.array(r["ids"], np.int64), np.array(r["shares"])) for r in got], np.array([soft.get(r["pattern"], 0.5) for r in got])) if got else (np.zeros(1 << BITS), 0.0)
     sent = spark.sparkContext.broadcast((w.astype(np.float32), float(b), soft))
 
     def score(batches):
