@@ -4,9 +4,9 @@ A document's set is its distinct 5-word shingles. The sketch has T coordinates;
 to one bin and one value, in round T + j all elements are hashed to bin j, and a bin keeps its smallest value of its
 earliest round, so after 2T rounds every coordinate is filled. Bands of R coordinates make buckets. Documents with
 equal sets are one class from the start. In every bucket the class that collides most leads, and the others are held
-against it on their full sets. Where a bucket still has several components, the sketches of its classes are compared
-in blocks, and pairs of two components whose sketches agree enough (a short and a fine one) are held against each other on their
-full sets. A link is lost only if no band shows it, (1 - 0.85^R)^B = 8e-7 a pair at a similarity of 0.85, or if its
+against it on their full sets. Where a bucket still has several components, the sketches of its classes are compared, and pairs of two components whose sketches agree enough (a short and a fine one) are held against each other on their
+full sets. A large bucket is cut into blocks for that, the classes of its largest component apart from the others: those
+need no comparison among themselves, so a bucket costs its classes times those outside its largest component. A link is lost only if no band shows it, (1 - 0.85^R)^B = 8e-7 a pair at a similarity of 0.85, or if its
 sketches agree six standard deviations less than expected, 1e-8; nothing is capped.
 
 Defined results: null and blank texts have no shingles, link with nothing and stand for themselves; null ids are left
@@ -209,15 +209,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     now = members.select("band", "place", "id", "n", "size").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     now = now.join(open_, "band", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "bands", "sketch"), "id").join(shingles.select("id", "fine"), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # a large bucket is cut into blocks, and every two blocks meet in a group of their own
-    spread = now.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # Blocks 0 to majors - 1 hold the largest component, the next ones the others; two blocks meet in a group of their own
+    # unless both are of the largest component. A small bucket is one block.
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("in_all"))
+    large = F.broadcast(scratch.keep(parts.filter(F.col("in_all") > BLOCK).select("band", F.col("m.component").alias("major"), F.ceil(F.col("m.k") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("in_all") - F.col("m.k")) / BLOCK).cast("int").alias("minors")), "large"))
+    now = now.join(large, "band", "left")  # buckets of more than BLOCK classes, at most one for BLOCK rows and band
+    is_major, h = F.col("component") == F.col("major"), F.xxhash64("id")
+    mine = F.when(F.col("major").isNull(), 0).when(is_major, F.pmod(h, F.col("majors"))).otherwise(F.col("majors") + F.pmod(h, F.greatest("minors", F.lit(1)))).cast("int")
+    met = F.when(F.col("major").isNull(), F.array(F.lit(0))).when(is_major, F.sequence(F.col("majors"), F.col("majors") + F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("majors") + F.col("minors") - 1))
+    spread = now.withColumn("mine", mine).withColumn("other", F.explode(met))
     spread = spread.withColumn("group", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")))
     cols = ["group", "mine", "other", "place", "id", "n", "component", "bands", "sketch", "fine"]
     new = spread.select(*cols).repartition("group").sortWithinPartitions("group").mapInArrow(finder(percent), "a long, b long")
     new = scratch.keep(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs2")
-    scratch.drop("members", "reps", "comp1", "pairs1")
+    scratch.drop("members", "reps", "comp1", "pairs1", "large")
     links = scratch.keep(links.unionByName(confirmed(new, shingles, percent)), "links2")
     scratch.drop("sets", "pairs2", "links1")
     comp = scratch.keep(components(links, scratch, "c2"), "comp2")
