@@ -4,10 +4,11 @@ A window's minimiser is the smallest hash of its 10-word grams, so equal windows
 windows of one minimiser form a super-k-mer. Minimisers that only one document has cannot repeat and are let go after
 one count; the super-k-mers of the others travel as packed strings to the bucket of their minimiser. Equal strings
 collapse before that shuffle. In a bucket all windows are sorted by their words and the smallest document of each is
-found; a bucket with too many strings is cut into chunks whose window counts are merged by a second aggregation.
+found; a bucket with too many windows is cut into chunks whose window counts are merged by a second aggregation. A
+super-k-mer of many windows (a text that repeats itself) travels as several strings.
 
-Defined results: null text has no words; doc_id names a document, so rows that repeat an id are judged as one; null ids
-are kept whole and don't count as smaller; an empty table gives an empty result; other columns are ignored.
+Defined results: null text has no words; rows with one id are documents of the same rank, neither smaller than the other,
+and equal ones have equal results; null ids are kept whole and don't count as smaller; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, grams, hashed, long_id, table, texts
 
 WINDOW, GRAM = 50, 10
-#: Strings that a bucket may have before it is cut, and windows that a worker sorts at once.
-HOT_STRINGS, SORT_WINDOWS = 20_000, 60_000
+#: Windows that a bucket may have before it is cut, that a worker sorts at once, and that one string may hold; a window takes
+#: 200 bytes there.
+HOT_WINDOWS, SORT_WINDOWS, LONG = 100_000, 60_000, 2_000
 
 
 def minimisers(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -50,32 +52,32 @@ def split(batches):
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             mins.append(m)
             starts.append(s)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(mins, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "n_words", "sha", "mins", "starts"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sha), pa.array(mins, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], ["doc_id", "h", "n_words", "sha", "mins", "starts"])
 
 
 def pack(batches):
-    """The packed strings of the super-k-mers to compare: (doc_id, start, minimiser, sid, packed)."""
+    """The packed strings of the super-k-mers to compare: (doc_id, h, start, minimiser, sid, packed, windows)."""
     for b in batches:
-        rows = zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("runs").to_pylist(), strict=True)
-        out: list[list] = [[], [], [], [], []]
-        for doc, text, runs in rows:
+        rows = zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), texts(b.column("text")), b.column("runs").to_pylist(), strict=True)
+        out: list[list] = [[] for _ in range(7)]
+        for doc, h, text, runs in rows:
             words = text.split()
             for r in runs:
-                if r["start"] + r["windows"] + WINDOW - 1 > len(words):
-                    continue  # another row of this id was profiled
-                packed = b" ".join(words[r["start"] : r["start"] + r["windows"] + WINDOW - 1])
-                for col, x in zip(out, (doc, r["start"], r["minimiser"], xxhash.xxh3_128_digest(packed), packed), strict=True):
-                    col.append(x)
+                for at in range(r["start"], r["start"] + r["windows"], LONG):
+                    n = min(LONG, r["start"] + r["windows"] - at)
+                    packed = b" ".join(words[at : at + n + WINDOW - 1])
+                    for col, x in zip(out, (doc, h, at, r["minimiser"], xxhash.xxh3_128_digest(packed), packed, n), strict=True):
+                        col.append(x)
             if len(out[0]) > 20_000:
                 yield packed_batch(out)
-                out = [[], [], [], [], []]
+                out = [[] for _ in range(7)]
         if out[0]:
             yield packed_batch(out)
 
 
 def packed_batch(out):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "start", "minimiser", "sid", "packed"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "h", "start", "minimiser", "sid", "packed", "windows"])
 
 
 def window_rows(strings: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,6 @@ def rewrite(batches):
             edge = np.zeros(len(words) + 1, np.int64)
             for f in found:
                 at = np.array(f["offsets"], np.int64) + f["start"]
-                at = at[at + WINDOW <= len(words)]
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
             out = np.cumsum(edge)[:-1] > 0
@@ -171,25 +172,26 @@ def rewrite(batches):
             removed.append(int(out.sum()))
             sha.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)], ["doc_id", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)], ["doc_id", "h", "n_removed", "kept_sha256", "kept_text"])
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, hot_strings: int = HOT_STRINGS) -> tuple[DataFrame, DataFrame]:
+def substring_dedup(spark: SparkSession, docs: DataFrame, hot_windows: int = HOT_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(digests, changed): doc_id, n_words, n_removed, kept_sha256 of every row, and the new text of each document that loses words."""
     scratch = Scratch(spark, "substr")
-    source = docs.select(long_id(), F.col("text").cast("string").alias("text"))
-    prof = scratch.keep(source.mapInArrow(split, "doc_id long, n_words long, sha string, mins array<long>, starts array<int>"), "profile")
+    text = F.col("text").cast("string")
+    source = docs.select(long_id(), text.alias("text"), F.xxhash64(text).alias("h"))  # h tells texts of one id apart
+    prof = scratch.keep(source.mapInArrow(split, "doc_id long, h long, n_words long, sha string, mins array<long>, starts array<int>"), "profile")
 
-    each = prof.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "n_words", F.explode(F.arrays_zip("mins", "starts", F.slice(F.concat("starts", F.array((F.col("n_words") - (WINDOW - 1)).cast("int"))), F.lit(2), F.size("starts")).alias("ends"))).alias("r"))
-    runs = each.select("doc_id", F.col("r.mins").alias("minimiser"), F.col("r.starts").alias("start"), (F.col("r.ends") - F.col("r.starts")).alias("windows"))
+    each = prof.filter("doc_id is not null").select("doc_id", "h", "n_words", F.explode(F.arrays_zip("mins", "starts", F.slice(F.concat("starts", F.array((F.col("n_words") - (WINDOW - 1)).cast("int"))), F.lit(2), F.size("starts")).alias("ends"))).alias("r"))
+    runs = each.select("doc_id", "h", F.col("r.mins").alias("minimiser"), F.col("r.starts").alias("start"), (F.col("r.ends") - F.col("r.starts")).alias("windows"))
     shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("minimiser")
-    affected = runs.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("runs"))
-    affected = scratch.keep(source.join(affected, "doc_id").dropDuplicates(["doc_id"]), "affected")
+    affected = runs.join(shared, "minimiser").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "windows", "minimiser")).alias("runs"))  # a set, as rows may repeat
+    affected = scratch.keep(source.join(affected, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), "affected")
 
-    packed = affected.mapInArrow(pack, "doc_id long, start int, minimiser long, sid binary, packed binary")
-    strings = scratch.keep(packed.groupBy("sid", "minimiser", "packed").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")), "strings")
-    places = scratch.keep(affected.mapInArrow(pack, "doc_id long, start int, minimiser long, sid binary, packed binary").select("doc_id", "start", "sid"), "places")
-    hot = strings.groupBy("minimiser").agg(F.count("*").alias("n")).filter(F.col("n") > hot_strings).select("minimiser")
+    packed = affected.mapInArrow(pack, "doc_id long, h long, start int, minimiser long, sid binary, packed binary, windows long")
+    strings = scratch.keep(packed.groupBy("sid", "minimiser", "packed").agg(F.min("doc_id").alias("doc"), F.max("windows").alias("windows")), "strings")
+    places = scratch.keep(packed.select("doc_id", "h", "start", "sid"), "places")
+    hot = strings.groupBy("minimiser").agg(F.sum("windows").alias("n")).filter(F.col("n") > hot_windows).select("minimiser")
     hot = scratch.keep(hot, "hot")
     cols = ["sid", "minimiser", "packed", "doc"]
     if hot.isEmpty():
@@ -205,10 +207,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, hot_strings: int = HOT
         low = low.unionByName(merged)
     low = scratch.keep(low, "low")
 
-    repeated = places.join(low.filter(F.size("low") > 0), "sid").select("doc_id", "start", F.expr("filter(transform(low, (x, i) -> if(x < doc_id, i, -1)), i -> i >= 0)").alias("offsets")).filter(F.size("offsets") > 0)
-    found = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "offsets")).alias("found"))
-    changed = scratch.keep(affected.select("doc_id", "text").join(found, "doc_id").mapInArrow(rewrite, "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "changed")
-    out = prof.select("doc_id", "n_words", "sha").join(changed.select("doc_id", "n_removed", "kept_sha256"), "doc_id", "left")
+    repeated = places.join(low.filter(F.size("low") > 0), "sid").select("doc_id", "h", "start", F.expr("filter(transform(low, (x, i) -> if(x < doc_id, i, -1)), i -> i >= 0)").alias("offsets")).filter(F.size("offsets") > 0)
+    found = repeated.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "offsets")).alias("found"))
+    changed = scratch.keep(affected.select("doc_id", "h", "text").join(found, ["doc_id", "h"]).mapInArrow(rewrite, "doc_id long, h long, n_removed long, kept_sha256 string, kept_text string"), "changed")
+    out = prof.select("doc_id", "h", "n_words", "sha").join(changed.select("doc_id", "h", "n_removed", "kept_sha256"), ["doc_id", "h"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")), changed
 
 
