@@ -28,7 +28,7 @@ from .common import Scratch, long_id, table
 from .token_counts import tokenizer_path
 
 TOKENIZER, CAPACITY, END = "word_bpe_49k.json", 2048, 0
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 6, 3
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 12, 4
 #: Words whose ids a worker remembers before it forgets them all.
 CACHED = 600_000
 
@@ -131,12 +131,35 @@ def by_length(items, lengths):
     return sorted(items, key=lambda i: -lengths[i])
 
 
+def tightened(bins: list[list[int]], loose: list[int], lengths, capacity: int) -> list[int]:
+    """Swaps one or two pieces of a bin for a loose one that fills it better; what is loose then is smaller."""
+    order = sorted((lengths[i], i) for i in loose)
+    for items in bins:
+        room, best = capacity - sum(lengths[i] for i in items), (0, None, 0)
+        if not room or not order or len(items) > 12:
+            continue
+        for k, x in enumerate(items):
+            for out in [(x,), *((x, y) for y in items[k + 1 :])]:
+                size = sum(lengths[i] for i in out)
+                at = bisect_left(order, (size + room + 1, -1)) - 1
+                if at >= 0 and order[at][0] - size > best[0]:
+                    best = (order[at][0] - size, out, at)
+        if best[1]:
+            _, piece = order.pop(best[2])
+            for x in best[1]:
+                items.remove(x)
+                insort(order, (lengths[x], x))
+            items.append(piece)
+    return [i for _, i in order]
+
+
 def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
-    """b's well-filled bins as they are, a's bins that share no piece with them, the rest by best fit."""
+    """b's well-filled bins as they are and a's bins that share no piece with them; pieces without a bin are swapped in
+    where they fill a bin better, and the rest goes by best fit."""
     full = [x for x, f in zip(b.bins, b.free, strict=True) if f <= b.capacity // 64 and rng.random() < 0.5]
     taken = {i for x in full for i in x}
     child = Bins(a.lengths, a.capacity)
-    displaced = []
+    displaced, kept = [], []
     for x in full:
         child.add_bin(x)
     worst = set(sorted(range(len(a.bins)), key=lambda k: -a.free[k])[: max(2, len(a.bins) // 20)])
@@ -144,7 +167,10 @@ def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
         if k in worst or not taken.isdisjoint(x):
             displaced += [i for i in x if i not in taken]
         else:
-            child.add_bin(x)
+            kept.append(list(x))
+    displaced = tightened(kept, displaced, a.lengths, a.capacity)
+    for x in kept:
+        child.add_bin(x)
     child.insert(by_length(displaced, a.lengths))
     return child
 
@@ -248,9 +274,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, model: str = TOKENIZER,
     blocks = max(1, -(-n // block))
     items = cut.select("pid", "length", F.pmod(F.xxhash64("pid"), F.lit(blocks)).alias("block"))
     placed = scratch.keep(pack_lengths(scratch, items, "main", capacity, islands, epochs), "placed")
-    # bins with much room, of 64 blocks at a time, are packed once more
-    loose = placed.filter(F.col("room") > capacity // 32)
-    again = cut.select("pid", "length").join(loose.select("pid", (F.col("block") / 64).cast("long").alias("block")), "pid")
+    # bins with much room are packed once more, their pieces dealt to blocks of the same size
+    loose = placed.filter(F.col("room") > capacity // 32).select("pid")
+    tails = max(1, -(-loose.count() // block))
+    again = cut.select("pid", "length").join(loose, "pid").withColumn("block", F.pmod(F.xxhash64("pid", F.lit(1)), F.lit(tails)))
     tail = pack_lengths(scratch, again, "tail", capacity, 1, 1)
     wide = F.lit(1 << 32)
     whole = placed.filter(F.col("room") <= capacity // 32).select("pid", (F.col("block") * wide + F.col("bin") * 2).alias("sequence_id"), "offset").unionByName(tail.select("pid", (F.col("block") * wide + F.col("bin") * 2 + 1).alias("sequence_id"), "offset"))
