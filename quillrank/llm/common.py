@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +71,10 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(salt))
 
 
-def texts(column) -> list[bytes | None]:
-    """The UTF-8 bytes of an Arrow string column."""
-    import pyarrow as pa
-
-    return column.cast(pa.large_binary()).to_pylist()
+def texts(column) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of an Arrow string column, a few rows in memory at a time."""
+    for at in range(0, len(column), 512):
+        yield from column.slice(at, 512).cast(pa.large_binary()).to_pylist()
 
 
 def two_level_rank(df: DataFrame, by: list[str], order: str, rows: int, out: str, per_bucket: int = 50_000, then: tuple[str, ...] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ empty tables give no leaks; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,60 +172,78 @@ def leaks(items: Items, docs: list[np.ndarray]) -> list[dict[int, int]]:
     return out
 
 
-IDS, EDITS = "_item_ids", "_least_edits"
-
-
-def searched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
-    """docs, all columns and rows as they are, with the items that each text leaks and their fewest edits (null if none)."""
+def item_blocks(spark: SparkSession, benchmark: DataFrame, edit: float, block: int) -> list:
+    """Broadcasts of the items, a bounded part each; documents are never collected."""
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // block))
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn(IDS, F.lit(None).cast("array<long>")).withColumn(EDITS, F.lit(None).cast("long"))
-    schema = rows.schema
+    blocks = max(1, -(-items.count() // block))
+    out = []
     for k in range(blocks):
-        # a bounded part of the query set, never of the documents
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part], edit))
-        rows = rows.mapInArrow(searcher(sent), schema)
-    return rows
-
-
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
-    """doc_id, contaminated, item_ids (array), least_edits of every row of docs."""
-    rows = searched(spark, docs.select(long_id(), "text"), benchmark, edit, block)
-    ids = F.sort_array(F.array_distinct(F.array_compact(F.coalesce(IDS, F.array().cast("array<long>")))))
-    return rows.select("doc_id", F.col(EDITS).isNotNull().alias("contaminated"), ids.alias("item_ids"), F.col(EDITS).alias("least_edits"))
-
-
-def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
-    """The rows of docs, whatever their ids, that leak no item."""
-    return searched(spark, docs, benchmark, edit, block).filter(F.col(EDITS).isNull()).select(*docs.columns)
+        out.append(spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part], edit)))
+    return out
 
 
 #: Hash tables of item blocks that a worker process keeps between its tasks, by the id of their broadcast; at most so many.
 TABLES_KEPT, _kept = 2, {}
 
 
-def searcher(sent):
+def finder(sent):
+    """texts (Arrow) -> for each text the items of a block that it leaks, with their fewest edits."""
     key = sent._jbroadcast.id() if getattr(sent, "_jbroadcast", None) is not None else None
 
-    def run(batches):
+    def run(texts):
         if key not in _kept:
             while len(_kept) >= TABLES_KEPT:
                 _kept.pop(next(iter(_kept)))
             _kept[key] = Items(*sent.value)
         items = _kept[key]
+        for at in range(0, len(texts), 1024):
+            for hits in leaks(items, [word_hashes(t) for t in texts.slice(at, 1024).to_pylist()]):
+                found: dict[int | None, int] = {}
+                for i, edits in hits.items():
+                    found[items.ids[i]] = min(edits, found.get(items.ids[i], edits))
+                yield found
+
+    return run
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
+    """doc_id, contaminated, item_ids (array), least_edits of every row of docs."""
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast("long").alias("least_edits"))
+    for sent in item_blocks(spark, benchmark, edit, block):
+        rows = rows.mapInArrow(searcher(sent), rows.schema)
+    ids = F.sort_array(F.array_distinct(F.array_compact(F.coalesce("item_ids", F.array().cast("array<long>")))))
+    return rows.select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), ids.alias("item_ids"), "least_edits")
+
+
+def searcher(sent):
+    find = finder(sent)
+
+    def run(batches):
         for b in batches:
             found, least = [], []
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                hits = leaks(items, [word_hashes(t) for t in part.column("text").to_pylist()])
-                for h, ids, low in zip(hits, part.column(IDS).to_pylist(), part.column(EDITS).to_pylist(), strict=True):
-                    found.append((ids or []) + [items.ids[i] for i in h])
-                    least.append(min([*h.values(), *([low] if low is not None else [])], default=None))
-            kept = [b.column(k) for k in b.schema.names if k not in (IDS, EDITS)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64())), pa.array(least, pa.int64())], b.schema.names)
+            for hits, ids, low in zip(find(b.column("text")), b.column("item_ids").to_pylist(), b.column("least_edits").to_pylist(), strict=True):
+                found.append((ids or []) + list(hits))
+                least.append(min([*hits.values(), *([low] if low is not None else [])], default=None))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(found, pa.list_(pa.int64())), pa.array(least, pa.int64())], ["doc_id", "text", "item_ids", "least_edits"])
+
+    return run
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edit: float = EDIT, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, whatever their ids, that leak no item. Only texts go to Python."""
+    for sent in item_blocks(spark, benchmark, edit, block):
+        docs = docs.filter(~F.arrow_udf(leaky(sent), "boolean")(F.col("text").cast("string")))
+    return docs
+
+
+def leaky(sent):
+    find = finder(sent)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in texts:
+            yield pa.array([bool(h) for h in find(a)], pa.bool_())
 
     return run
 

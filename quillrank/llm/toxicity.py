@@ -17,6 +17,7 @@ ids are scored too; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import CACHE_WORDS, long_id, ship, table
 
@@ -149,32 +149,36 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_p: int =
     return Model({int(f): float(x) for f, x in zip(kept, w, strict=True)}, bias)
 
 
-def with_scores(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs, all columns and rows as they are, with the score of each text."""
-    sent = spark.sparkContext.broadcast(model)  # at most as many weights as nnpu keeps
-
-    def score(batches):
+def scorer(sent):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         cache = FeatureCache(set(m.weights))
-        for b in batches:
+        for a in texts:
             s = []
-            for at in range(0, b.num_rows, 512):
-                s += m.scores(b.column("text").slice(at, 512).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
+            for at in range(0, len(a), 512):
+                s += m.scores(a.slice(at, 512).to_pylist(), cache)
+            yield pa.array(s, pa.float64())
 
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+    return run
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    rows = with_scores(spark, docs.select(long_id(), "text"), train(spark, docs, labels))
+    score = scorer(spark.sparkContext.broadcast(train(spark, docs, labels)))  # at most as many weights as nnpu keeps
+
+    def scored(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *score([b.column("text")])], ["doc_id", "score"])
+
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, whatever their ids, whose score is below the threshold."""
-    return with_scores(spark, docs, train(spark, docs, labels), "_toxicity").filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    """The rows of docs, whatever their ids, whose score is below the threshold. Only texts go to Python and only scores
+    come back."""
+    score = F.arrow_udf(scorer(spark.sparkContext.broadcast(train(spark, docs, labels))), "double")
+    return docs.filter(score(F.col("text").cast("string")) < threshold)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
