@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HASHES, grams, long_id, mix, seeds, ship, table
+from .common import HASHES, U64, forgetting, grams, long_id, mix, seeds, ship, table
 
 EDIT, GRAM = 0.2, 3
 #: Walks, tables of each walk and sampled words of each table.
@@ -220,6 +220,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ed
 def searcher(sent):
     find = finder(sent)
 
+    @forgetting
     def run(batches):
         for b in batches:
             found, least = [], []
@@ -241,6 +242,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, e
 def leaky(sent):
     find = finder(sent)
 
+    @forgetting
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in texts:
             yield pa.array([bool(h) for h in find(a)], pa.bool_())

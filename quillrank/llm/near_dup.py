@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK, U64, Scratch, grams, hashed, long_id, mix, seeds, table, texts
+from .common import MASK, U64, Scratch, forgetting, grams, hashed, long_id, mix, seeds, table, texts
 from .components import components
 
 SHINGLE, COORDS, ROWS = 5, 120, 5
@@ -83,6 +83,7 @@ def band_hashes(coords: np.ndarray, rows: int = ROWS) -> np.ndarray:
 PROFILE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
+@forgetting
 def profiles(batches):
     """Set size, 128-bit set signature and band hashes of each document."""
     for b in batches:
@@ -103,6 +104,7 @@ def marks(coords: np.ndarray) -> bytes:
     return (mix(coords) & U64(255)).astype(np.uint8).tobytes()
 
 
+@forgetting
 def sets(batches):
     """The whole set and the fine sketch of each document of a shared bucket."""
     for b in batches:

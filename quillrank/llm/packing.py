@@ -30,7 +30,7 @@ from .token_counts import tokenizer_path
 TOKENIZER, CAPACITY, END = "word_bpe_49k.json", 2048, 0
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 12, 4
 #: Words whose ids a worker remembers before it forgets them all.
-CACHED = 400_000
+CACHED = 250_000
 
 # Up to U+017F without U+0130, Python's and the library's classes agree and NFC changes nothing; other texts go to the library whole.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]|<\\|")

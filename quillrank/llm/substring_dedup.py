@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, grams, hashed, long_id, table, texts
+from .common import Scratch, forgetting, grams, hashed, long_id, table, texts
 
 WINDOW, GRAM = 50, 10
 #: Windows that a bucket may have before it is cut, that a worker sorts at once, and that one string may hold; a window takes
 #: 200 bytes there.
-HOT_WINDOWS, SORT_WINDOWS, LONG = 100_000, 60_000, 2_000
+HOT_WINDOWS, SORT_WINDOWS, LONG, HOT_SENT = 100_000, 60_000, 2_000, 20_000
 
 
 def minimisers(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +41,7 @@ def minimisers(w: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     return low[starts].view(np.int64), starts.astype(np.int32)
 
 
+@forgetting
 def split(batches):
     """Per document: words, the digest of all of them, and its super-k-mers."""
     for b in batches:
@@ -130,14 +131,14 @@ def settled(sids, docs, strings):
 
 
 def chunk(batches):
-    """Strings of cut buckets -> one row for each distinct window of a batch: (window, doc)."""
+    """Strings of cut buckets -> one row for each distinct window of a batch: (window, doc, n), n how often it stands there."""
     for b in batches:
-        best: dict[bytes, int] = {}
+        best: dict[bytes, list[int]] = {}
         for packed, doc in zip(b.column("packed").to_pylist(), b.column("doc").to_pylist(), strict=True):
             for w in windows_of(packed):
-                if best.get(w, doc) >= doc:
-                    best[w] = doc
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), pa.array(list(best.values()), pa.int64())], ["window", "doc"])
+                x = best.setdefault(w, [doc, 0])
+                x[0], x[1] = min(x[0], doc), x[1] + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), *(pa.array([x[k] for x in best.values()], pa.int64()) for k in (0, 1))], ["window", "doc", "n"])
 
 
 def windows_of(packed: bytes) -> list[bytes]:
@@ -201,8 +202,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, hot_windows: int = HOT
     low = calm.select(*cols).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(settle, "sid binary, low array<long>")
     if not hot.isEmpty():
         cut = strings.join(hot, "minimiser", "left_semi")
-        of_window = cut.select("packed", "doc").mapInArrow(chunk, "window binary, doc long").groupBy("window").agg(F.min("doc").alias("doc"))
-        parts = cut.select("sid", "packed").mapInArrow(spread, "sid binary, at int, window binary").join(of_window, "window")
+        of_window = cut.select("packed", "doc").mapInArrow(chunk, "window binary, doc long, n long").groupBy("window").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
+        of_window = scratch.keep(of_window, "windows")
+        # fewer than HOT_SENT windows can stand in more than a HOT_SENT-th of all places; they go to all tasks
+        most = max(1000, (of_window.agg(F.sum("n")).first()[0] or 0) // HOT_SENT)
+        often, seldom = F.broadcast(of_window.filter(F.col("n") > most)), of_window.filter(F.col("n") <= most)
+        each = cut.select("sid", "packed").mapInArrow(spread, "sid binary, at int, window binary").join(often.withColumnRenamed("doc", "of_hot").drop("n"), "window", "left")
+        parts = each.filter("of_hot is not null").select("sid", "at", F.col("of_hot").alias("doc")).unionByName(each.filter("of_hot is null").select("sid", "at", "window").join(seldom, "window").select("sid", "at", "doc"))
         merged = parts.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("at", "doc"))).alias("l")).select("sid", F.transform("l", lambda x: x["doc"]).alias("low"))
         low = low.unionByName(merged)
     low = scratch.keep(low, "low")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, long_id, ship, table
+from .common import CACHE_WORDS, forgetting, long_id, ship, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BEGINNINGS = 20, (4, 5)
@@ -117,6 +117,7 @@ def fold():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
+@forgetting
 def hashed_features(batches):
     cache = FeatureCache()
     for b in batches:
@@ -150,6 +151,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_p: int =
 
 
 def scorer(sent):
+    @forgetting
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         cache = FeatureCache(set(m.weights))
