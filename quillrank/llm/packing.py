@@ -28,9 +28,9 @@ from .common import Scratch, long_id, table
 from .token_counts import tokenizer_path
 
 TOKENIZER, CAPACITY, END = "word_bpe_49k.json", 2048, 0
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 12, 4
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 6, 3
 #: Words whose ids a worker remembers before it forgets them all.
-CACHED = 250_000
+CACHED = 600_000
 
 # Up to U+017F without U+0130, Python's and the library's classes agree and NFC changes nothing; other texts go to the library whole.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u017f]|<\\|")
@@ -42,13 +42,13 @@ WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\\s{LETTER}{
 class Encoder(dict):
     """Texts -> little-endian 32-bit ids, as the library gives them; ids of words are remembered."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, cached: int = CACHED):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer_path(model))
+        self.model, self.cached = Tokenizer.from_file(tokenizer_path(model)), cached
         self.by_word = '"end_of_word_suffix":"</w>"' in self.model.to_str()
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for piece, i in self.model.get_vocab().items():
@@ -60,7 +60,7 @@ class Encoder(dict):
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED:
+        if len(self) + len(new) > self.cached:
             self.clear()
             new = list(words)
         if not new:
@@ -83,8 +83,8 @@ class Encoder(dict):
 
 
 @cache
-def encoder(model: str) -> Encoder:
-    return Encoder(model)
+def encoder(model: str, cached: int = CACHED) -> Encoder:
+    return Encoder(model, cached)
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -251,12 +251,12 @@ def pack_lengths(scratch: Scratch, items: DataFrame, tag: str, capacity: int, is
     return found.join(top, ["block", "island"]).select("block", "pid", "bin", "offset", "room")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, model: str = TOKENIZER, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, model: str = TOKENIZER, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, cached: int = CACHED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
     scratch = Scratch(spark, "pack")
 
     def tokenize(batches):
-        e = encoder(model)
+        e = encoder(model, cached)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for at in range(0, b.num_rows, 512):

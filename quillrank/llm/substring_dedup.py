@@ -131,14 +131,21 @@ def settled(sids, docs, strings):
 
 
 def chunk(batches):
-    """Strings of cut buckets -> one row for each distinct window of a batch: (window, doc, n), n how often it stands there."""
+    """Strings of cut buckets -> a row for each distinct window of some strings: (window, doc, n), n how often it stands there."""
+    best: dict[bytes, list[int]] = {}
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), *(pa.array([x[k] for x in best.values()], pa.int64()) for k in (0, 1))], ["window", "doc", "n"])
+
     for b in batches:
-        best: dict[bytes, list[int]] = {}
         for packed, doc in zip(b.column("packed").to_pylist(), b.column("doc").to_pylist(), strict=True):
             for w in windows_of(packed):
                 x = best.setdefault(w, [doc, 0])
                 x[0], x[1] = min(x[0], doc), x[1] + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), *(pa.array([x[k] for x in best.values()], pa.int64()) for k in (0, 1))], ["window", "doc", "n"])
+            if len(best) >= SORT_WINDOWS:
+                yield rows()
+                best.clear()
+    yield rows()
 
 
 def windows_of(packed: bytes) -> list[bytes]:
@@ -147,14 +154,21 @@ def windows_of(packed: bytes) -> list[bytes]:
 
 
 def spread(batches):
+    sids, at, ws = [], [], []
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(at, pa.int32()), pa.array(ws, pa.binary())], ["sid", "at", "window"])
+
     for b in batches:
-        sids, at, ws = [], [], []
         for sid, packed in zip(b.column("sid").to_pylist(), b.column("packed").to_pylist(), strict=True):
-            for i, w in enumerate(windows_of(packed)):
-                sids.append(sid)
-                at.append(i)
-                ws.append(w)
-        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(at, pa.int32()), pa.array(ws, pa.binary())], ["sid", "at", "window"])
+            found = windows_of(packed)
+            sids += [sid] * len(found)
+            at += range(len(found))
+            ws += found
+            if len(ws) >= SORT_WINDOWS:
+                yield rows()
+                sids, at, ws = [], [], []
+    yield rows()
 
 
 def rewrite(batches):
