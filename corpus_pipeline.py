@@ -22,6 +22,8 @@ from quillrank.llm.toxicity import clean
 
 #: Ids of rows that go are sent to all tasks up to this many (100 bytes each at most); more go by a shuffle.
 SENT = 500_000
+#: Words that a packing worker remembers; fewer than alone, as its process has served other stages.
+PACK_WORDS = 250_000
 
 
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +65,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(spark, docs)
+    return pack_documents(spark, docs, cached=PACK_WORDS)
 
 
 STAGES = [
