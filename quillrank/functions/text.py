@@ -6,12 +6,40 @@ text does it: lambdas over arrays are interpreted for each word.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE, NO_SPACE = "[ \\t\\n\\r]+", "[^ \\t\\n\\r]"
 #: Where a word starts and ends.
 START, END = f"(?<!{NO_SPACE})", f"(?!{NO_SPACE})"
+SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_ASCII = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<={_ASCII})(?!{_ASCII})|(?<!{_ASCII})(?={_ASCII}))"
+_FOLDED = {"s": "\\x{17F}", "k": "\\x{212A}"}  # long s and Kelvin sign
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern for Java with the meaning that it has in RE2, by which the SQL counts: \\b stands at ASCII letters, digits
+    and _ only (Java takes Ü for a letter, and finds no `best` in `Übest`), \\s has no vertical tab, a line ends at
+    \\n only, and (?i) takes two more letters for s and k."""
+    flags = "".join(re.findall(r"\(\?([a-z]+)\)", pattern))
+    more = _FOLDED if "i" in flags else {}
+
+    def part(t: str) -> str:
+        if t == "\\b":
+            return _EDGE
+        if t == "$" and "m" not in flags:
+            return "\\z"
+        if t[0] == "[":
+            t = t.replace("\\s", " \\t\\n\\f\\r")
+            return t[:-1] + "".join(v for k, v in more.items() if "a-z" in t.lower() or k in t.lower()) + "]"
+        if t in ("\\s", "\\w"):
+            return "[ \\t\\n\\f\\r]" if t == "\\s" else "[0-9A-Za-z_" + "".join(more.values()) + "]"
+        return f"[{t}{more[t.lower()]}]" if t.lower() in more else t
+
+    return "(?d)" + "".join(map(part, re.findall(r"\[\^?(?:\\.|[^\]\\])+\]|\\[pPx]\{\w+\}|\(\?[a-z]+\)|\\.|.", pattern, re.S)))
 
 
 def safe(c: Column) -> Column:
@@ -22,6 +50,16 @@ def stripped(c: Column) -> Column:
     return F.btrim(safe(c), F.lit(" \t\n\r"))
 
 
+def trimmed(c: Column, also: str = "") -> Column:
+    """Without Unicode's space separators, and the characters `also`, at both ends: what trim means in SQL."""
+    return F.btrim(c, F.lit(SEPARATORS + also))
+
+
+def lowered(c: Column) -> Column:
+    """In small letters, each letter by itself: lower() would make two characters of İ and look at what follows Σ."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def words(c: Column) -> Column:
     t = stripped(c)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE))

@@ -128,3 +128,14 @@ def test_budget(spark):
 
 def test_maintenance_is_throttled():
     assert store.due(0, 3601) and not store.due(0, 3600)
+
+
+def test_extra_variants_replace_words_between_ascii_letters_only_as_sql(spark):
+    cases = {
+        "Übest kalt network forum": ["Übest kalt network forum research", "Übest kalt network forum explained", "Ütop kalt network forum"],
+        "bestß dem network forum": ["bestß dem network forum research", "bestß dem network forum explained", "topß dem network forum"],
+        "a best_ network forum": ["a best_ network forum research", "a best_ network forum explained", "a best_ distributed system forum"],
+        "networ\u212ax network forum": ["networ\u212ax network forum research", "how networ\u212ax network forum works", "distributed systemx distributed system forum"],
+    }
+    got = values(spark, [(q,) for q in cases], "q string", search.extra_variants(C("q")))
+    assert [g for (g,) in got] == list(cases.values())
