@@ -444,9 +444,10 @@ def dedup_exact(spark, d):
 
 
 def user_queries(spark, d):
-    """Two to five first words of each user turn stand in for a query, as there is no log of queries."""
+    """Two to five first words of each user turn stand in for a query, as there is no log of queries; null for a turn without a text."""
     c = read(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.array_join(F.slice(T.words(C("text")), F.lit(1), (C("conv_id") % 4 + 2).cast("int")), " ").alias("q"))
+    first = F.array_join(F.slice(T.words(C("text")), F.lit(1), (C("conv_id") % 4 + 2).cast("int")), " ")
+    return c.select("conv_id", "turn", F.when(C("text").isNotNull(), first).alias("q"))
 
 
 SQL_QUERIES = f"(SELECT conv_id, turn, array_to_string(({TEXT})[1:(conv_id % 4 + 2)], ' ') AS q FROM conversations WHERE role = 'user')"

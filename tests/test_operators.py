@@ -182,3 +182,15 @@ def test_intent(spark):
 
 def test_let_is_transparent(spark):
     assert spark.range(1).select(T.let(F.lit(2), lambda x: x + x)).first()[0] == 4
+
+
+def test_query_variants_of_odd_turns_equal_their_sql(spark, tmp_path):
+    texts = [None, "", " ", " ", "　 Best ", "   best x   ", "Übest enente ch", "Undülichü bestß dem teöü", "guİde and best", "networKx net", "ſcience now", "MECHANİSM now", "a\x0bbest\x0c x"]
+    rows = [(3 * i + k, i, "user", t) for i, t in enumerate(texts) for k in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("query_variants", "extra_variants"):
+        want = con.execute(catalogue.ORACLES[name]).fetchall()
+        got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(rows) and sorted(got) == sorted(want)
