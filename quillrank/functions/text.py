@@ -27,9 +27,12 @@ def ascii_edges(pattern: str) -> str:
     flags = "".join(re.findall(r"\(\?([a-z]+)\)", pattern))
     more = _FOLDED if "i" in flags else {}
 
-    def part(t: str) -> str:
+    def part(before: str, t: str, after: str) -> str:
+        letter = lambda x: re.fullmatch(_ASCII, x) and x.lower() not in more
         if t == "\\b":
-            return _EDGE
+            if letter(after):
+                return f"(?={after})(?<!{_ASCII})"  # looks ahead first, as that fails at most places of a text
+            return f"(?!{_ASCII})" if letter(before) else f"(?={part('', after, '')}){_EDGE}" if after in (*more, "\\d") else _EDGE
         if t == "$" and "m" not in flags:
             return "\\z"
         if t[0] == "[":
@@ -39,7 +42,8 @@ def ascii_edges(pattern: str) -> str:
             return "[ \\t\\n\\f\\r]" if t == "\\s" else "[0-9A-Za-z_" + "".join(more.values()) + "]"
         return f"[{t}{more[t.lower()]}]" if t.lower() in more else t
 
-    return "(?d)" + "".join(map(part, re.findall(r"\[\^?(?:\\.|[^\]\\])+\]|\\[pPx]\{\w+\}|\(\?[a-z]+\)|\\.|.", pattern, re.S)))
+    parts = ["", *re.findall(r"\[\^?(?:\\.|[^\]\\])+\]|\\[pPx]\{\w+\}|\(\?[a-z]+\)|\\.|.", pattern, re.S), ""]
+    return "(?d)" + "".join(map(part, parts, parts[1:], parts[2:]))
 
 
 def safe(c: Column) -> Column:

@@ -24,7 +24,7 @@ def title_tokens(t: Column) -> Column:
 
 def fingerprint(c: Column, least: int = 60, most: int = 300) -> Column:
     """Of the first 300 lower-cased words of a text with 60 words or more, else null."""
-    head = T.first_words(F.lower(T.safe(c)), most)
+    head = T.first_words(T.lowered(T.safe(c)), most)
     return T.let(head, lambda w: F.when(F.size(w) >= least, F.left(F.md5(F.array_join(w, " ")), F.lit(16))))
 
 

@@ -128,7 +128,7 @@ def vote_order(df: DataFrame, votes: DataFrame, key: str, by: str, rank: str = "
 
 def over_optimised(title: Column, query: Column) -> Column:
     words = F.filter(T.words(F.regexp_replace(F.lower(T.safe(query)), "[^\\p{L}\\p{N}_ \\t\\n\\r]", " ")), lambda w: F.length(w) > 3)
-    low, n = F.lower(T.safe(title)), T.word_count(title)
+    low, n = T.lowered(T.safe(title)), T.word_count(title)
 
     def penalty(w: Column) -> Column:
         share = F.size(F.filter(w, lambda x: low.contains(x))) / F.greatest(F.size(w), F.lit(1))

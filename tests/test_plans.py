@@ -236,3 +236,25 @@ def test_store_pages(spark):
     second = {r["url"]: r for r in K.store_pages(first, K.stored(results.withColumn("source", F.lit("brave")), "q2", as_of)).collect()}
     assert set(second) == {"https://a.org", "https://b.org"} and second["https://a.org"]["query_tags"] == ["q1", "q2"]
     assert len(second["https://a.org"]["content"].split()) == 3000 and second["https://b.org"]["content"] == "s" and second["https://a.org"]["source"] == "ddg"
+
+
+def test_rank_scores_of_odd_pages_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from quillrank import catalogue, catalogue_plans  # noqa: F401
+
+    titles = [
+        "ÉTÉ ÜBER ÄRGER now", "ABCÉ DEFÜ GHIß kalt", "AÉBCD and more", " Best of all  ", "\tBest of all\n", "top\tten of all", "best things | a\n|\nb", "5 thingsé of a day", "Über5 ways of a day",
+        "5 wayſ of a day", "beſt of all", "Nİcht WİTH a b c d e f", "NICHT WITH one two three four", "short",
+    ]
+    phrases = ["ébest 10 picks", "best 10é", "buy nowß", "ümoreover thusé", "éin conclusion", "add\x0bto cart", "save 5%", "ſave 5%", "networK", "20 USDé", "read moreé x", "privacy policyß", "bestbuy.com  affiliate", "# A b # C d\x85# E f", "MECHANİSM ΑΣ Σ"]
+    rows = []
+    for i in range(80):
+        body = " ".join(f"word{i * k % 23} {phrases[(i + k) % len(phrases)]}{'.' if k % 3 else ''}" for k in range(0, 40 if i % 4 else 8))
+        rows.append((i, f"https://site{i % 9}.example{i % 3}.org/a/b{i}", f"<html><title>{titles[i % len(titles)]}</title><nav>x</nav><ſcript>y</script><p> {body}　</p></html>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLES["rank_scores"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["rank_scores"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and sorted(got) == sorted(want)
